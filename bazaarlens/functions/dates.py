@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MICROS_PER_DAY = 86_400_000_000
-
 # Display order of weekdays and months.
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 MONTHS = (
@@ -23,11 +21,13 @@ def date_key(day: Column) -> Column:
 def elapsed_days(start: Column, end: Column) -> Column:
     """Whole 24-hour days from ``start`` to ``end``, rounded down also below zero.
 
-    Counted in microseconds: a difference of dates would count midnights instead.
+    A difference of dates would count midnights instead. Timestamps without time zone are
+    subtracted as such, so no daylight saving time of the session gets in.
     """
-    micros = F.timestamp_diff("MICROSECOND", start, end)
-    day = F.lit(_MICROS_PER_DAY)
-    return F.call_function("div", micros - F.pmod(micros, day), day)
+    span = end - start
+    toward_zero = F.extract(F.lit("DAY"), span)
+    rest_below_zero = span < F.make_dt_interval(days=toward_zero)
+    return (toward_zero - rest_below_zero.cast("int")).cast("bigint")
 
 
 def months_between_starts(earlier: Column, later: Column) -> Column:

@@ -20,46 +20,48 @@ def counted_shares(df: DataFrame, label: str, count: str) -> DataFrame:
     return counts.withColumn("share_pct", share_of(F.col(count))).orderBy(F.desc(count), label)
 
 
-def equal_width_histogram(counts: DataFrame, value: str, count: str, bins: int) -> DataFrame:
+def equal_width_histogram(
+    counts: DataFrame, value: str, count: str, bins: int, keep: Sequence[str] = ()
+) -> DataFrame:
     """``bins`` equal intervals between the least and the largest value; the last one is closed.
 
     ``counts`` holds one row per distinct whole number (its range bounds its size), so the bounds
-    and the bins need no second pass over the data. Integer arithmetic places every value exactly.
-    Without values there are no bins; with one distinct value the range is widened by a half to
-    both sides.
+    come from a window over it and the data is read once. Integer arithmetic places every value
+    exactly. Without values there are no bins; with one distinct value the range is widened by a
+    half to both sides. ``keep`` names columns that are the same in all rows and stay.
     """
-    bounds = counts.agg(F.min(value).alias("low"), F.max(value).alias("high")).filter("low IS NOT NULL")
-    # Twice the values, so that the widened range stays in whole numbers.
-    scaled = bounds.select(
-        (F.col("low") * 2 - F.when(F.col("low") == F.col("high"), 1).otherwise(0)).alias("low2"),
-        (F.col("high") * 2 + F.when(F.col("low") == F.col("high"), 1).otherwise(0)).alias("high2"),
-    )
-    spine = scaled.select("low2", "high2", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    low2 = scaled.select("low2").scalar()
-    span2 = scaled.select(F.col("high2") - F.col("low2")).scalar()
+    everywhere = Window.partitionBy()
+    low, high = F.min(value).over(everywhere), F.max(value).over(everywhere)
+    # Bounds are doubled, so that the widened range stays in whole numbers.
+    widen = F.when(low == high, 1).otherwise(0)
+    shared = ["low2", "high2", *keep]
+    offset = (F.col(value) * 2 - F.col("low2")) * bins
+    last = F.lit(bins - 1).cast("bigint")
     placed = (
         counts.select(
-            F.least(
-                F.call_function("div", (F.col(value) * 2 - low2) * bins, span2), F.lit(bins - 1).cast("bigint")
-            )
-            .cast("int")
-            .alias("bin"),
-            F.col(count),
+            value, count, *keep, (low * 2 - widen).alias("low2"), (high * 2 + widen).alias("high2")
+        )
+        .withColumn(
+            "bin", F.least(F.call_function("div", offset, F.col("high2") - F.col("low2")), last).cast("int")
         )
-        .groupBy("bin")
+        .groupBy(*shared, "bin")
         .agg(F.sum(count).alias(count))
     )
-    width2 = (F.col("high2") - F.col("low2")).cast("double")
-    return (
-        spine.join(placed, "bin", "left")
-        .select(
-            "bin",
-            ((F.col("low2") + width2 * F.col("bin") / bins) / 2).alias("bin_start"),
-            ((F.col("low2") + width2 * (F.col("bin") + 1) / bins) / 2).alias("bin_end"),
-            F.coalesce(count, F.lit(0)).cast("bigint").alias(count),
-        )
-        .orderBy("bin")
+    # One row with at most ``bins`` entries, spread over all bins, also those without rows.
+    entries = F.collect_list(F.struct("bin", count))
+    spread = (
+        placed.groupBy(*shared)
+        .agg(F.map_from_entries(entries).alias("filled"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     )
+    width2 = (F.col("high2") - F.col("low2")).cast("double")
+    return spread.select(
+        "bin",
+        ((F.col("low2") + width2 * F.col("bin") / bins) / 2).alias("bin_start"),
+        ((F.col("low2") + width2 * (F.col("bin") + 1) / bins) / 2).alias("bin_end"),
+        F.coalesce(F.element_at("filled", F.col("bin")), F.lit(0)).cast("bigint").alias(count),
+        *keep,
+    ).orderBy("bin")
 
 
 def in_fixed_order(df: DataFrame, column: str, ordered: Sequence[str]) -> DataFrame:

@@ -19,6 +19,7 @@ from bazaarlens.model import (
 )
 from bazaarlens.operators.grouping import first_present, first_row_per_key, most_common
 from bazaarlens.operators.ranking import dense_index
+from bazaarlens.workspace import at_once
 
 Tables = Mapping[str, DataFrame]
 
@@ -234,13 +235,16 @@ def build_fact_orders(
 def build_dimensions(
     tables: Tables, regions: DataFrame | Mapping[str, str] = STATE_REGIONS
 ) -> dict[str, DataFrame]:
-    return {
-        "dim_date": build_dim_date(tables["orders"]),
-        "dim_customer": build_dim_customer(tables["customers"]),
-        "dim_product": build_dim_product(tables["products"], tables["category_xlat"]),
-        "dim_seller": build_dim_seller(tables["sellers"]),
-        "dim_geography": build_dim_geography(tables["geo"], regions),
-    }
+    """The five dimensions; numbering their rows runs jobs, which do not depend on each other."""
+    return at_once(
+        {
+            "dim_date": lambda: build_dim_date(tables["orders"]),
+            "dim_customer": lambda: build_dim_customer(tables["customers"]),
+            "dim_product": lambda: build_dim_product(tables["products"], tables["category_xlat"]),
+            "dim_seller": lambda: build_dim_seller(tables["sellers"]),
+            "dim_geography": lambda: build_dim_geography(tables["geo"], regions),
+        }
+    )
 
 
 def build_mart(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,29 +49,35 @@ def kpi_vs_benchmark(mart: Mart, benchmark: float = 7.9) -> DataFrame:
 
 def share_of_total(mart: Mart, rfm_result: DataFrame) -> DataFrame:
     """The slices of all share charts: ``chart, label, value, share_pct``."""
+
+    def slices(df: DataFrame, label: str, **charts: str) -> DataFrame:
+        lines = [
+            F.struct(
+                F.lit(chart.replace("_", " ")).alias("chart"),
+                F.col(label).alias("label"),
+                F.col(value).cast("decimal(38,2)").alias("value"),
+            )
+            for chart, value in charts.items()
+        ]
+        return df.select(F.inline(F.array(*lines)))
+
     by_bucket = revenue.revenue_by_price_bucket(mart).filter(F.col("revenue").isNotNull())
-    payments = customers.payment_type_split(mart)
-    sources = {
-        "revenue by price bucket": (by_bucket, "price_bucket", "revenue"),
-        "orders by delivery": (delivery.ontime_vs_late(mart), "label", "orders"),
-        "customers by buyer type": (customers.repeat_buyers(mart), "buyer_type", "customers"),
-        "orders by payment type": (payments, "payment_type", "orders"),
-        "revenue by payment type": (payments, "payment_type", "revenue"),
-        "customers by segment": (rfm.segment_distribution(rfm_result), "segment", "customers"),
-    }
-    slices = [
-        df.select(
-            F.lit(chart).alias("chart"),
-            F.col(label).alias("label"),
-            F.col(value).cast("decimal(38,2)").alias("value"),
-        )
-        for chart, (df, label, value) in sources.items()
+    parts = [
+        slices(by_bucket, "price_bucket", revenue_by_price_bucket="revenue"),
+        slices(delivery.ontime_vs_late(mart), "label", orders_by_delivery="orders"),
+        slices(customers.repeat_buyers(mart), "buyer_type", customers_by_buyer_type="customers"),
+        slices(
+            customers.payment_type_split(mart),
+            "payment_type",
+            orders_by_payment_type="orders",
+            revenue_by_payment_type="revenue",
+        ),
+        slices(rfm.segment_distribution(rfm_result), "segment", customers_by_segment="customers"),
     ]
-    together = slices[0]
-    for part in slices[1:]:
-        together = together.unionByName(part)
-    return together.withColumn("share_pct", share_of(F.col("value"), ["chart"])).orderBy(
-        "chart", F.desc("value"), "label"
+    return (
+        reduce(DataFrame.unionByName, parts)
+        .withColumn("share_pct", share_of(F.col("value"), ["chart"]))
+        .orderBy("chart", F.desc("value"), "label")
     )
 
 

@@ -35,9 +35,12 @@ def delivery_by_state(mart: Mart) -> DataFrame:
 
 def delivery_national_avg(mart: Mart) -> DataFrame:
     """Both reference lines: the mean of the state means, and the mean over all orders."""
-    of_states = mean_of(delivery_by_state(mart), "avg_delivery_days", "mean_of_state_means")
-    orders = totals(mart).select(ratio(F.col("days_sum"), F.col("days_n")).alias("mean_of_orders"))
-    return orders.select("mean_of_orders", of_states.scalar().alias("mean_of_state_means"))
+    exact = ratio(F.col("days_sum"), F.col("days_n")).cast("decimal(20,6)")
+    of_known_state = F.when(F.col("state").isNotNull(), exact)
+    return totals(mart, ["state"], keep_null_groups=True).agg(
+        ratio(F.sum("days_sum"), F.sum("days_n")).alias("mean_of_orders"),
+        ratio(F.sum(of_known_state), F.count(of_known_state)).alias("mean_of_state_means"),
+    )
 
 
 def ontime_vs_late(mart: Mart) -> DataFrame:
@@ -76,25 +79,23 @@ def _days_counted(mart: Mart) -> DataFrame:
     )
 
 
-def _mean_days(counts: DataFrame) -> DataFrame:
-    return counts.agg(
-        ratio(F.sum(F.col("delivery_days") * F.col("orders")), F.sum("orders")).alias("mean_days")
-    )
+def _with_mean_days(counts: DataFrame) -> DataFrame:
+    """Mean delivery time of all counted orders, beside each distinct number of days."""
+    everywhere = Window.partitionBy()
+    days = F.sum(F.col("delivery_days") * F.col("orders")).over(everywhere)
+    return counts.withColumn("mean_days", ratio(days, F.sum("orders").over(everywhere)))
 
 
 def delivery_histogram(mart: Mart) -> DataFrame:
     """Delivery times of 0 to 60 days in 40 bins, and the mean of these orders."""
-    counts = _days_counted(mart).filter(F.col("delivery_days").between(0, MAX_DAYS))
-    bins = equal_width_histogram(counts, "delivery_days", "orders", BINS)
-    return bins.withColumn("mean_days", _mean_days(counts).scalar())
+    counts = _with_mean_days(_days_counted(mart).filter(F.col("delivery_days").between(0, MAX_DAYS)))
+    return equal_width_histogram(counts, "delivery_days", "orders", BINS, ["mean_days"])
 
 
 def delivery_histogram_lt60(mart: Mart) -> DataFrame:
     """Delivery times below 60 days, negative ones too, in 40 bins, and the mean of all orders."""
-    counts = _days_counted(mart)
-    below = counts.filter(F.col("delivery_days") < MAX_DAYS)
-    bins = equal_width_histogram(below, "delivery_days", "orders", BINS)
-    return bins.withColumn("mean_days", _mean_days(counts).scalar())
+    counts = _with_mean_days(_days_counted(mart)).filter(F.col("delivery_days") < MAX_DAYS)
+    return equal_width_histogram(counts, "delivery_days", "orders", BINS, ["mean_days"])
 
 
 def freight_pct_by_category(mart: Mart, k: int = 15) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaarlens.model import STAR_SCHEMAS, Mart
+from bazaarlens.workspace import at_once
 
 
 def _layout(name: str, df: DataFrame) -> DataFrame:
@@ -22,15 +23,25 @@ def _layout(name: str, df: DataFrame) -> DataFrame:
     return by_month.sortWithinPartitions("date_key").drop("month_key")
 
 
+def _write(df: DataFrame, target: str, fmt: str) -> None:
+    writer = df.write.mode("overwrite")
+    if fmt == "csv":
+        writer.option("header", True).option("escape", '"').csv(target)
+    else:
+        writer.format(fmt).save(target)
+
+
+def _target(folder: str, name: str, fmt: str) -> str:
+    return f"{folder.rstrip('/')}/{name}" + (".csv" if fmt == "csv" else "")
+
+
 def write_star(mart: Mart, folder: str, fmt: str = "parquet") -> None:
     """Write the six tables, as parquet or as CSV with a header."""
-    for name, df in mart.tables().items():
-        target = f"{folder.rstrip('/')}/{name}" + (".csv" if fmt == "csv" else "")
-        writer = _layout(name, df).write.mode("overwrite")
-        if fmt == "csv":
-            writer.option("header", True).option("escape", '"').csv(target)
-        else:
-            writer.format(fmt).save(target)
+
+    def step(name: str, df: DataFrame):
+        return lambda: _write(_layout(name, df), _target(folder, name, fmt), fmt)
+
+    at_once({name: step(name, df) for name, df in mart.tables().items()})
 
 
 def read_star(
@@ -68,12 +79,8 @@ def read_star(
 
 def write_result(df: DataFrame, folder: str, name: str, fmt: str = "csv") -> str:
     """Store one query result; returns where."""
-    target = f"{folder.rstrip('/')}/result_{name}" + (".csv" if fmt == "csv" else "")
-    writer = df.write.mode("overwrite")
-    if fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(target)
-    else:
-        writer.format(fmt).save(target)
+    target = _target(folder, f"result_{name}", fmt)
+    _write(df, target, fmt)
     return target
 
 

@@ -9,9 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+Result = TypeVar("Result")
+
 _SETTING = "spark.checkpoint.dir"
 
 
@@ -38,3 +43,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = stage_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def at_once(steps: Mapping[str, Callable[[], Result]]) -> dict[str, Result]:
+    """Run independent steps side by side, so that small jobs share the cluster; all must succeed."""
+    with ThreadPoolExecutor(max_workers=max(1, len(steps))) as pool:
+        running = {name: pool.submit(step) for name, step in steps.items()}
+        return {name: future.result() for name, future in running.items()}

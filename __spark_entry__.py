@@ -31,7 +31,6 @@ from bazaarlens.plans import (  # noqa: E402
     star,
 )
 from bazaarlens.sources import generated  # noqa: E402
-from bazaarlens.workspace import materialize  # noqa: E402
 from oracle.checks import CHOSEN_SEGMENTS, STATEMENTS  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,17 +48,6 @@ def _plain(df: DataFrame) -> DataFrame:
     )
 
 
-_RFM: dict[int, DataFrame] = {}
-
-
-def stored_rfm(mart: Mart) -> DataFrame:
-    """The segmentation, stored on first use for the reports that read it."""
-    key = id(mart)
-    if key not in _RFM:
-        _RFM[key] = materialize(rfm.rfm_segments(mart), "result-rfm")
-    return _RFM[key]
-
-
 def _on_raw(make: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
     return lambda spark, sf_dir: _plain(make(generated.raw_tables(spark, sf_dir)))
 
@@ -73,7 +61,7 @@ def _on_mart(make: Callable[[Mart], DataFrame]) -> Query:
 
 
 def _on_rfm(make: Callable[[DataFrame], DataFrame]) -> Query:
-    return _on_mart(lambda mart: make(stored_rfm(mart)))
+    return lambda spark, sf_dir: _plain(make(generated.open_segments(spark, sf_dir)))
 
 
 def _filled_defaults(raw: dict[str, DataFrame]) -> DataFrame:
@@ -116,6 +104,11 @@ def _dim_geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.build_dim_geography(geo, generated.state_regions(spark, sf_dir))
 
 
+def _share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mart, segments = generated.open_mart(spark, sf_dir), generated.open_segments(spark, sf_dir)
+    return _plain(dashboard.share_of_total(mart, segments))
+
+
 def _slice(mart: Mart) -> Mart:
     return star.slice_mart(mart, year=1997, state="NATION_3")
 
@@ -124,6 +117,7 @@ def _slice(mart: Mart) -> Mart:
 def _registry() -> dict[str, Query]:
     return {
         "table_row_counts": _on_raw(quality.row_counts),
+        "star_row_counts": _on_mart(lambda m: quality.row_counts(m.tables())),
         "profile_nulls": _on_raw(quality.null_profile),
         "dq_null_counts": _on_raw(quality.null_counts),
         "dq_duplicate_rows": _on_raw(quality.duplicate_rows),
@@ -198,7 +192,7 @@ def _registry() -> dict[str, Query]:
             lambda m: revenue.monthly_revenue(star.slice_mart(m, category="unknown"))
         ),
         "slicer_values": _on_mart(star.slicer_values),
-        "share_of_total": _on_mart(lambda m: dashboard.share_of_total(m, stored_rfm(m))),
+        "share_of_total": _share_of_total,
         "measure_totals": _on_mart(measures.measure_totals),
         "measure_totals_by_month": _on_mart(lambda m: measures.measure_totals(m, ["year", "month"])),
         "measure_totals_by_category_year": _on_mart(lambda m: measures.measure_totals(m, ["category_en", "year"])),

@@ -68,15 +68,14 @@ def duplicate_rows(tables: Tables) -> DataFrame:
 
 
 def issue_count(tables: Tables) -> DataFrame:
-    """One issue per table with nulls plus one per table with duplicate rows."""
-    flagged = (
-        null_counts(tables)
-        .select("table_name", F.lit("nulls").alias("kind"))
-        .distinct()
-        .unionByName(
-            duplicate_rows(tables)
-            .filter("duplicate_rows > 0")
-            .select("table_name", F.lit("duplicates").alias("kind"))
+    """One issue per table with nulls plus one per table with duplicate rows, in one scan each."""
+
+    def issues(df: DataFrame) -> DataFrame:
+        any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in df.columns])
+        found = df.groupBy(*df.columns).agg(F.count("*").alias("copies")).agg(
+            F.bool_or(any_null).alias("nulls"), F.bool_or(F.col("copies") > 1).alias("duplicates")
         )
-    )
-    return flagged.agg(F.count("*").alias("issues"))
+        flags = [F.coalesce(F.col(c).cast("bigint"), F.lit(0)) for c in ("nulls", "duplicates")]
+        return found.select((flags[0] + flags[1]).alias("issues"))
+
+    return _stacked([issues(df) for df in tables.values()]).agg(F.sum("issues").alias("issues"))

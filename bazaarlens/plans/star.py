@@ -51,32 +51,28 @@ def _parts() -> dict[str, Column]:
 def totals(mart: Mart, by: Sequence[str] = (), keep_null_groups: bool = False) -> DataFrame:
     """The additive parts of all measures per group; unused parts are pruned by the planner.
 
-    The fact is first reduced to one row per surrogate key, inside each task and then across them;
-    only these rows meet the dimensions. So a key that holds a third of the fact is one row by the
-    time it is joined, and the join needs no other partitioning than that of the first step.
+    Date attributes come from the calendar, whose size no fact can raise, by a broadcast. For any
+    other dimension the fact is first reduced to one row per surrogate key, inside each task and
+    then across them, and only these rows meet the dimension. So a key that holds a third of the
+    fact is one row by the time it is joined, and the join needs no other partitioning than that
+    of the first step.
     """
-    dims: dict[str, list[tuple[str, str]]] = {}
+    wanted: dict[str, list[Column]] = {}
     for name in by:
         if name in ATTRIBUTES:
-            dim, _, column = ATTRIBUTES[name]
-            dims.setdefault(dim, []).append((column, name))
+            dim, key, column = ATTRIBUTES[name]
+            wanted.setdefault(dim, [F.col(key)]).append(F.col(column).alias(name))
     key_of = {dim: key for dim, key, _ in ATTRIBUTES.values()}
-    own = [name for name in by if name not in ATTRIBUTES]
-    fact, keys = mart.fact, [key_of[dim] for dim in dims]
-    if "dim_date" in dims and len(dims) > 1:
-        # Beside a larger dimension, group by the wanted date attributes and not by single days.
-        dates = dims.pop("dim_date")
-        fact = fact.join(
-            F.broadcast(mart.dim_date.select("date_key", *[F.col(c).alias(n) for c, n in dates])), "date_key", "left"
-        )
-        keys = [k for k in keys if k != "date_key"] + [n for _, n in dates]
-    result = fact.groupBy(*keys, *own).agg(*[c.alias(n) for n, c in _parts().items()])
-    if dims:
-        for dim, columns in dims.items():
-            key = key_of[dim]
-            side = getattr(mart, dim).select(key, *[F.col(c).alias(n) for c, n in columns])
-            result = result.join(side, key, "left")
-        result = result.groupBy(*by).agg(*[F.sum(n).alias(n) for n in _parts()])
+    fact = mart.fact
+    if "dim_date" in wanted:
+        fact = fact.join(F.broadcast(mart.dim_date.select(*wanted.pop("dim_date"))), "date_key", "left")
+    later = {name for name in by if name in ATTRIBUTES and ATTRIBUTES[name][0] in wanted}
+    keys = [name for name in by if name not in later] + [key_of[dim] for dim in wanted]
+    result = fact.groupBy(*keys).agg(*[part.alias(name) for name, part in _parts().items()])
+    if wanted:
+        for dim, columns in wanted.items():
+            result = result.join(getattr(mart, dim).select(*columns), key_of[dim], "left")
+        result = result.groupBy(*by).agg(*[F.sum(name).alias(name) for name in _parts()])
     if by and not keep_null_groups:
         result = result.dropna(subset=list(by))
     return result

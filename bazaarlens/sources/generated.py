@@ -5,16 +5,15 @@ Every derived value is exact (decimals, integers, dates), so two engines agree o
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaarlens.model import Mart
 from bazaarlens.plans.build import build_dimensions, build_fact_orders, clean
+from bazaarlens.plans.rfm import rfm_segments
 from bazaarlens.sources.star_store import read_star, write_star
-from bazaarlens.workspace import stage_path
+from bazaarlens.workspace import materialize, stage_path
 
 # Classes of an order's price, at about the quartiles of the generated orders.
 PRICE_EDGES = (0, 100_000, 250_000, 400_000)
@@ -237,16 +236,7 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-@dataclass(frozen=True)
-class StoredMart:
-    mart: Mart
-    folder: str
-
-
-_STORED: dict[tuple[str, str], StoredMart] = {}
-
-
-def write_mart(spark: SparkSession, sf_dir: str) -> StoredMart:
+def write_mart(spark: SparkSession, sf_dir: str) -> Mart:
     """Run the whole build once and store the star schema in the shared folder."""
     tables = clean(raw_tables(spark, sf_dir))
     dims = build_dimensions(tables, state_regions(spark, sf_dir))
@@ -260,12 +250,28 @@ def write_mart(spark: SparkSession, sf_dir: str) -> StoredMart:
     )
     folder = stage_path(spark, "star")
     write_star(Mart(fact=fact, **dims), folder)
-    return StoredMart(read_star(spark, folder, id_types=ID_TYPES), folder)
+    return read_star(spark, folder, id_types=ID_TYPES)
+
+
+_MARTS: dict[tuple[str, str], Mart] = {}
+_SEGMENTED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _place(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    return spark.conf.get("spark.app.id"), sf_dir.rstrip("/")
 
 
 def open_mart(spark: SparkSession, sf_dir: str) -> Mart:
     """The stored star schema of this application, built on first use."""
-    key = (spark.conf.get("spark.app.id"), sf_dir.rstrip("/"))
-    if key not in _STORED:
-        _STORED[key] = write_mart(spark, sf_dir)
-    return _STORED[key].mart
+    place = _place(spark, sf_dir)
+    if place not in _MARTS:
+        _MARTS[place] = write_mart(spark, sf_dir)
+    return _MARTS[place]
+
+
+def open_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored customer segmentation of this application, made on first use."""
+    place = _place(spark, sf_dir)
+    if place not in _SEGMENTED:
+        _SEGMENTED[place] = materialize(rfm_segments(open_mart(spark, sf_dir)), "result-rfm")
+    return _SEGMENTED[place]

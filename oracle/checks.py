@@ -243,6 +243,15 @@ STATEMENTS: dict[str, str] = {
     ),
     "dedup_first_per_key": over_star("SELECT * FROM geo_first"),
     # Star schema.
+    "star_row_counts": over_star(
+        " UNION ALL ".join(
+            f"SELECT '{shown}' AS table_name, count(*) AS row_count FROM {name}"
+            for shown, name in {
+                "dim_date": "dim_date", "dim_customer": "dim_customer", "dim_product": "dim_product",
+                "dim_seller": "dim_seller", "dim_geography": "dim_geography", "fact_orders": "fact",
+            }.items()
+        )
+    ),
     "dim_date": over_star("SELECT * FROM dim_date"),
     "dim_customer": over_star("SELECT * FROM dim_customer"),
     "dim_product": over_star("SELECT * FROM dim_product"),

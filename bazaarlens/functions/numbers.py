@@ -19,6 +19,17 @@ def round2(value: Column) -> Column:
     return F.signum(value) * F.floor(F.abs(value) * 100 + 0.5) / 100
 
 
+def sum_money(amount: Column) -> Column:
+    """Aggregate: exact sum of a two-digit decimal per order, customer or other small unit.
+
+    Summed in whole cents: with many groups that is about twice as fast as a sum of decimals, whose
+    wide buffers are updated row by row. A sum beyond 64 bits is an error in ANSI mode, never a
+    wrong number; totals over the whole table are summed as decimals.
+    """
+    cents = F.sum((amount * 100).cast("bigint"))
+    return (cents.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(MONEY)
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Division as doubles; null when the denominator is null or zero."""
     return numerator.cast("double") / F.nullif(denominator.cast("double"), F.lit(0.0))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 def first_present(column: str, order: Sequence[str]) -> Column:
     """Aggregate: the first non-null value of ``column`` in ``order``."""
-    pick = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(column).alias("value"))
-    return F.min(F.when(F.col(column).isNotNull(), pick))["value"]
+    row = F.struct(*dict.fromkeys([*order, column]))
+    return F.min(F.when(F.col(column).isNotNull(), row))[column]
 
 
 def most_common(column: str) -> Column:

@@ -154,7 +154,7 @@ def build_dim_geography(
 
 def payments_per_order(payments: DataFrame) -> DataFrame:
     return payments.groupBy("order_id").agg(
-        F.sum("payment_value").cast(numbers.MONEY).alias("total_payment"),
+        numbers.sum_money(F.col("payment_value")).alias("total_payment"),
         F.max("payment_installments").alias("num_installments"),
         most_common("payment_type").alias("payment_type"),
     )
@@ -173,8 +173,8 @@ def items_per_order(order_items: DataFrame, order: Sequence[str] = ITEM_ORDER) -
     return order_items.groupBy("order_id").agg(
         first_present("product_id", by).alias("product_id"),
         first_present("seller_id", by).alias("seller_id"),
-        F.sum("freight_value").cast(numbers.MONEY).alias("total_freight"),
-        F.sum("price").cast(numbers.MONEY).alias("total_price"),
+        numbers.sum_money(F.col("freight_value")).alias("total_freight"),
+        numbers.sum_money(F.col("price")).alias("total_price"),
         F.count("order_item_id").alias("qty"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.dates import months_between_starts
-from bazaarlens.functions.numbers import percent, ratio, round2
+from bazaarlens.functions.numbers import percent, ratio, round2, sum_money
 from bazaarlens.model import Mart
 
 
@@ -36,7 +36,7 @@ def customer_month_orders(mart: Mart) -> DataFrame:
     return (
         _sales_days(mart)
         .groupBy("customer_key", F.trunc("full_date", "MM").alias("order_month"))
-        .agg(F.count("order_id").alias("orders_that_month"), F.sum("total_payment").alias("revenue_that_month"))
+        .agg(F.count("order_id").alias("orders_that_month"), sum_money(F.col("total_payment")).alias("revenue_that_month"))
     )
 
 

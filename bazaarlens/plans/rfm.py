@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.display import money
-from bazaarlens.functions.numbers import EXACT_FRACTION, ratio, round2, zero_if_null
+from bazaarlens.functions.numbers import EXACT_FRACTION, ratio, round2, sum_money, zero_if_null
 from bazaarlens.model import SEGMENTS, Mart
 from bazaarlens.operators.distribution import counted_shares
 from bazaarlens.operators.ranking import top_k, with_tiles
@@ -37,7 +37,7 @@ def rfm_metrics(mart: Mart) -> DataFrame:
         .agg(
             F.max("full_date").alias("last_order_date"),
             F.countDistinct("order_id").alias("frequency"),
-            F.sum("total_payment").alias("monetary"),
+            sum_money(F.col("total_payment")).alias("monetary"),
             F.count("total_payment").alias("paid"),
             F.sum(score).alias("score_sum"),
             F.count(score).alias("scored"),

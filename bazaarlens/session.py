@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 # Settings the jobs rely on. Sizes (shuffle partitions, executor memory) stay with the cluster.
 JOB_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

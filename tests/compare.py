@@ -26,7 +26,9 @@ SAME_TYPE = {
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     for table in TABLES:
-        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+        path = Path(sf_dir) / f"{table}.parquet"
+        files = path / "*.parquet" if path.is_dir() else path
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{files}'")
     return connection
 
 

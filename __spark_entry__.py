@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from bazaarlens.functions import display  # noqa: E402
 from bazaarlens.model import Mart  # noqa: E402
 from bazaarlens.operators import quality  # noqa: E402
 from bazaarlens.plans import (  # noqa: E402
@@ -196,6 +197,7 @@ def _registry() -> dict[str, Query]:
         "measure_totals": _on_mart(measures.measure_totals),
         "measure_totals_by_month": _on_mart(lambda m: measures.measure_totals(m, ["year", "month"])),
         "measure_totals_by_category_year": _on_mart(lambda m: measures.measure_totals(m, ["category_en", "year"])),
+        "measure_display": _on_mart(lambda m: display.format_measures(measures.measure_totals(m, ["year"]))),
         "late_rate_status": _on_mart(lambda m: measures.late_rate_status(m, ["year", "month"])),
         "revenue_yoy": _on_mart(measures.revenue_yoy),
         "revenue_yoy_by_year": _on_mart(lambda m: measures.revenue_yoy(m, "year")),

@@ -25,7 +25,14 @@ Tables = Mapping[str, DataFrame]
 
 
 def _row_order(df: DataFrame, natural: Sequence[str]) -> list[str]:
-    return [SOURCE_ORDER, *natural] if SOURCE_ORDER in df.columns else list(natural)
+    """Columns that put the rows of a raw table in order.
+
+    The place in the source where it is known, else the natural key; should a key come twice, the
+    other columns decide, so that only equal rows are left in any order.
+    """
+    if SOURCE_ORDER in df.columns:
+        return [SOURCE_ORDER]
+    return [*natural, *(c for c in df.columns if c not in natural)]
 
 
 def _shaped(df: DataFrame, table: str) -> DataFrame:
@@ -53,7 +60,9 @@ GEO_ORDER = ("geolocation_lat", "geolocation_lng", "geolocation_city", "geolocat
 
 
 def first_geo_per_zip(geo: DataFrame) -> DataFrame:
-    return first_row_per_key(geo, "geolocation_zip_code_prefix", _row_order(geo, GEO_ORDER))
+    zip_code = "geolocation_zip_code_prefix"
+    order = [c for c in _row_order(geo, GEO_ORDER) if c != zip_code]
+    return first_row_per_key(geo, zip_code, order)
 
 
 def clean(raw: Tables) -> dict[str, DataFrame]:
@@ -112,10 +121,10 @@ def build_dim_product(products: DataFrame, category_xlat: DataFrame) -> DataFram
             }
         )
     )
-    keep = [c for c in STAR_SCHEMAS["dim_product"].names if c != "product_key"]
-    order = _row_order(named, ["product_id"])
-    slim = named.select(*dict.fromkeys([*order, *keep]))
-    return _shaped(dense_index(slim, [F.col(c) for c in order], "product_key"), "dim_product")
+    wanted = {SOURCE_ORDER, *STAR_SCHEMAS["dim_product"].names}
+    slim = named.select(*[c for c in named.columns if c in wanted])
+    order = [F.col(c) for c in _row_order(slim, ["product_id"])]
+    return _shaped(dense_index(slim, order, "product_key"), "dim_product")
 
 
 def build_dim_seller(sellers: DataFrame) -> DataFrame:

@@ -497,6 +497,15 @@ STATEMENTS: dict[str, str] = {
     "measure_totals": _measures(""),
     "measure_totals_by_month": _measures("year, month"),
     "measure_totals_by_category_year": _measures("category_en, year"),
+    "measure_display": over_star(
+        f"""SELECT year, 'R$' || format('{{:,.2f}}', CAST(sum(total_payment) AS DOUBLE)) AS total_revenue,
+              format('{{:,}}', count(*)) AS total_orders,
+              'R$' || format('{{:,.2f}}', {quotient("sum(total_payment)", "count(*)")}) AS avg_order_value,
+              format('{{:,.1f}}', {_LATE_MEASURE}) || '%' AS late_order_rate_pct,
+              format('{{:,.1f}}', {_MEAN_DAYS}) AS avg_delivery_days,
+              format('{{:,.2f}}', {_MEAN_SCORE}) AS avg_review_score
+            FROM sales GROUP BY year"""
+    ),
     "late_rate_status": over_star(
         f"""SELECT year, month, {_LATE_MEASURE} AS late_order_rate_pct,
               {_STATUS.format(_LATE_MEASURE)} AS late_rate_status FROM sales GROUP BY year, month"""

@@ -215,3 +215,12 @@ def test_fills(spark):
     )
     filled = [r.order_delivered_customer_date.day for r in build.fill_delivery_date(orders).collect()]
     assert sorted(filled) == [1, 2]
+
+
+def test_repeated_keys_are_numbered_the_same_way_every_time(spark):
+    rows = [("c2", "u9", 1, "x", "SP"), ("c1", "u3", 1, "x", "SP"), ("c1", "u2", 1, "x", "SP"), ("c1", "u2", 1, "x", "SP")]
+    schema = "customer_id string, customer_unique_id string, customer_zip_code_prefix int, customer_city string, customer_state string"
+    numbered = build.build_dim_customer(spark.createDataFrame(rows, schema).repartition(3))
+    assert [(r.customer_key, r.customer_id, r.customer_unique_id) for r in numbered.orderBy("customer_key").collect()] == [
+        (1, "c1", "u2"), (2, "c1", "u2"), (3, "c1", "u3"), (4, "c2", "u9"),
+    ]

@@ -5,6 +5,8 @@ Run as a script: ``python tests/compare.py [folder] [name ...]``.
 
 from __future__ import annotations
 
+import contextlib
+import io
 import sys
 import time
 from pathlib import Path
@@ -54,6 +56,14 @@ def differences(df: DataFrame, connection: duckdb.DuckDBPyConnection, statement:
     return [f"{columns}: {a} expected {e}" for a, e in pairs if a != e][:5]
 
 
+def plan(df: DataFrame) -> str:
+    """The plan as text; the one that ran, once the frame has run."""
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain("formatted")
+    return text.getvalue()
+
+
 def main() -> int:
     from __spark_entry__ import oracle_sql, queries
 

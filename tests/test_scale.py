@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import contextlib
-import io
 from dataclasses import replace
 from datetime import date
 from pathlib import Path
 
 import pytest
+from compare import plan
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from bazaarlens.plans import cohort, customers, rfm, star
 from bazaarlens.sources import generated
 from bazaarlens.workspace import shared_dir
@@ -20,21 +18,6 @@ SF_DIR = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="generated tables are not here")
 
 
-def plan(df) -> str:
-    text = io.StringIO()
-    with contextlib.redirect_stdout(text):
-        df.explain("formatted")
-    return text.getvalue()
-
-
-@needs_tables
-@pytest.mark.parametrize("name", list(queries()))
-def test_no_cross_join_and_no_python_in_any_plan(spark, name):
-    text = plan(queries()[name](spark, SF_DIR))
-    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEval", "BatchEval", "MapInPandas"):
-        assert operator not in text
-
-
 @needs_tables
 def test_filters_and_columns_reach_the_scan(spark):
     mart = generated.open_mart(spark, SF_DIR)

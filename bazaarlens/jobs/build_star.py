@@ -59,6 +59,7 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--no-checks", action="store_true", help="skip the quality report")
     options = parser.parse_args(arguments)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s | %(levelname)s | %(message)s")
+    logging.getLogger("py4j").setLevel(logging.WARNING)
     spark = job_session("build-star")
     mart = run(spark, options.raw_dir, options.star_dir, options.format, not options.no_checks)
     for line in quality.row_counts(mart.tables()).collect():

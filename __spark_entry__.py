@@ -34,6 +34,19 @@ from bazaarlens.plans import (  # noqa: E402
 from bazaarlens.sources import generated  # noqa: E402
 from oracle.checks import CHOSEN_SEGMENTS, STATEMENTS  # noqa: E402
 
+try:
+    from bazaarlens.llm.queries import QUERIES as TEXT_QUERIES
+    from bazaarlens.llm.statements import STATEMENTS as TEXT_STATEMENTS
+    from corpus_pipeline import ORACLE_SQL, run as run_pipeline
+except ModuleNotFoundError as missing:
+    # The text operators are a part of their own and may be left out as a whole.
+    if missing.name not in ("bazaarlens.llm", "bazaarlens.llm.queries", "bazaarlens.llm.statements", "corpus_pipeline"):
+        raise
+    TEXT_QUERIES, TEXT_STATEMENTS = {}, {}
+else:
+    TEXT_QUERIES = {**TEXT_QUERIES, "pipeline": run_pipeline}
+    TEXT_STATEMENTS = {**TEXT_STATEMENTS, **({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
@@ -214,9 +227,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """One entry per operator; each takes (spark, sf_dir)."""
-    return dict(_registry())
+    return {**_registry(), **TEXT_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     """The statement for each registered query, over the generated tables."""
-    return {name: STATEMENTS[name] for name in _registry() if name in STATEMENTS}
+    return {name: STATEMENTS[name] for name in _registry() if name in STATEMENTS} | TEXT_STATEMENTS

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import bpe, chat, html_pages, language, quality, sharding
+from bazaarlens.llm import bpe, chat, decontamination, html_pages, language, quality, secrets, sharding, spotsigs
 from bazaarlens.llm.common import fold, in_fold, read_table
 
 SHARDS = 8
@@ -26,6 +26,32 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and of its edited text, and how alike they are."""
+    linked = spotsigs.edited_by_next(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    both = spotsigs.with_signatures(linked, "edited", "edited_found")
+    return both.select(
+        "doc_id",
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.as_text(F.col("found")).alias("fingerprint"),
+        spotsigs.as_text(F.col("edited_found")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("found"), F.col("edited_found")).alias("near_edited"),
+        spotsigs.likeness(F.col("found"), F.col("next_found")).alias("near_next"),
+    )
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document."""
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return found.select(
+        "doc_id",
+        *[secrets.count_of(F.col("base_spans"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secrets.span_list(F.col("base_spans")), 256).alias("base_sha256"),
+        secrets.span_list(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learned from four of five folds of the labels."""
     documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
@@ -40,6 +66,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(read_table(spark, sf_dir, "documents"), "doc_id", "text", path)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a passage of the benchmark, with the item."""
+    documents, tests = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return decontamination.find_leaks(documents, "doc_id", "text", tests, "item_id", "text")
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = html_pages.extract_text(read_table(spark, sf_dir, "pages"), "page_id", "url", "html")
@@ -54,8 +86,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language": op2_language,
+    "op3_spotsigs": op3_spotsigs,
+    "op4_secrets": op4_secrets,
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
+    "op8_decontamination": op8_decontamination,
     "op9_html": op9_html,
     "op10_chat": op10_chat,
 }

@@ -2,4 +2,52 @@
 
 from __future__ import annotations
 
-STATEMENTS: dict[str, str] = {}
+from bazaarlens.llm.decontamination import LEAST_POINTS, MASKS, PENALTY
+from bazaarlens.llm.secrets import ACCESS, ALLOWED, ASSIGN, CLASSES, HEX, LEAST_ACCESS, LEAST_ASSIGN, LEAST_HEX
+from bazaarlens.llm.spotsigs import ANCHORS
+
+
+def quoted(text: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+_CRC = """
+bits(n, v, k) AS (
+    SELECT range, range, 0 FROM range(256)
+    UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8
+),
+crc AS (SELECT list(v ORDER BY n) AS entries FROM bits WHERE k = 8)"""
+
+
+def _rendezvous(shards: int) -> str:
+    scores = ", ".join(
+        f"{{'score': -1.0 / ln((('0x' || substr(md5(concat(doc_id::VARCHAR, ':{s}')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0), 'shard': {s}}}"
+        for s in range(shards)
+    )
+    return f"list_max([{scores}]).shard"
+
+
+OP1 = f"""
+WITH RECURSIVE {_CRC},
+sized AS (
+    SELECT doc_id, coalesce(text, '') AS body FROM documents
+),
+bytes AS (
+    SELECT doc_id, octet_length(encode(body)) + 1 AS size,
+        list_transform(range(0, octet_length(encode(body))), lambda i: ('0x' || substr(hex(encode(body)), 2 * i::INT + 1, 2))::BIGINT) AS codes
+    FROM sized
+),
+placed AS (
+    SELECT doc_id, size,
+        xor(list_reduce(list_prepend(4294967295, codes), lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32,
+        {_rendezvous(8)} AS shard, {_rendezvous(9)} AS grown_shard
+    FROM bytes, crc
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
+    row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot,
+    grown_shard::INT AS grown_shard
+FROM placed
+"""
+
+STATEMENTS: dict[str, str] = {"op1_sharding": OP1}

@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import bpe, chat, decontamination, html_pages, language, quality, secrets, sharding, spotsigs
+from bazaarlens.llm import (
+    bpe,
+    chat,
+    decontamination,
+    html_pages,
+    language,
+    ngram_join,
+    quality,
+    secrets,
+    sharding,
+    spotsigs,
+)
 from bazaarlens.llm.common import fold, in_fold, read_table
 
 SHARDS = 8
@@ -52,6 +63,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of every document by five-word shingles."""
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learned from four of five folds of the labels."""
     documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
@@ -88,6 +104,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_spotsigs": op3_spotsigs,
     "op4_secrets": op4_secrets,
+    "op5_ngram_join": op5_ngram_join,
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,

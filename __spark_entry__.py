@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
+ROOT = str(Path(__file__).resolve().parent)
+sys.path.insert(0, ROOT)
 
 from bazaarlens.functions import display  # noqa: E402
 from bazaarlens.model import Mart  # noqa: E402
@@ -34,6 +35,21 @@ from bazaarlens.plans import (  # noqa: E402
 from bazaarlens.sources import generated  # noqa: E402
 from oracle.checks import CHOSEN_SEGMENTS, STATEMENTS  # noqa: E402
 
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _importable(query: Query) -> Query:
+    """Let Python workers find this library where no zip of it was submitted."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        env = spark.sparkContext.environment
+        if ROOT not in env.get("PYTHONPATH", "").split(":"):
+            env["PYTHONPATH"] = ":".join(filter(None, [ROOT, env.get("PYTHONPATH")]))
+        return query(spark, sf_dir)
+
+    return run
+
+
 try:
     from bazaarlens.llm.queries import QUERIES as TEXT_QUERIES
     from bazaarlens.llm.statements import STATEMENTS as TEXT_STATEMENTS
@@ -44,11 +60,9 @@ except ModuleNotFoundError as missing:
         raise
     TEXT_QUERIES, TEXT_STATEMENTS = {}, {}
 else:
-    TEXT_QUERIES = {**TEXT_QUERIES, "pipeline": run_pipeline}
+    TEXT_QUERIES = {name: _importable(query) for name, query in {**TEXT_QUERIES, "pipeline": run_pipeline}.items()}
     TEXT_STATEMENTS = {**TEXT_STATEMENTS, **({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})}
 
-Query = Callable[[SparkSession, str], DataFrame]
-
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 

@@ -165,15 +165,9 @@ def learn(
     return fit_forest(table, np.array([r["__label"] for r in rows], dtype=float))
 
 
-def score_quality(df: DataFrame, id_col: str, text_col: str, forest: Forest, kept: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, score`` for every row, and the columns ``kept``; a null text counts as empty."""
-    shared = df.sparkSession.sparkContext.broadcast(forest)
-
-    def score(texts: list[str]) -> dict[str, np.ndarray]:
-        return {"score": shared.value.probability(np.array([statistics(t) for t in texts]))}
-
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept)
-    return map_texts(rows, ["doc_id", *kept], score, {"score": "double"})
+def probabilities(forest: Forest, texts: list[str]) -> np.ndarray:
+    """The probability of label 1 of every text."""
+    return forest.probability(np.array([statistics(t) for t in texts]).reshape(len(texts), len(FEATURES)))
 
 
 def rate_quality(
@@ -187,6 +181,7 @@ def rate_quality(
     each scored; an empty table has no rows.
     """
     forest = learn(df, id_col, text_col, labels, label_id, label_col, learn_from, most)
-    return score_quality(df, id_col, text_col, forest).withColumn(
-        "predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)
-    )
+    shared = df.sparkSession.sparkContext.broadcast(forest)
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    scored = map_texts(rows, ["doc_id"], lambda ts: {"score": probabilities(shared.value, ts)}, {"score": "double"})
+    return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

@@ -211,6 +211,21 @@ def find_secrets(
     return found.withColumn("spans", F.array_sort(F.concat("base_spans", added).cast(_SPANS))).drop("__text", *patterns)
 
 
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """A text with every span replaced by ``mask``; spans that overlap or touch get one mask together."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
+
+    def step(state: Column, span: Column) -> Column:
+        apart = (span["start"] > state["at"]) | (state["at"] == 0)
+        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
+        return F.struct(
+            F.greatest(state["at"], span["end"]).alias("at"),
+            F.when(apart, F.concat(state["done"], gap, F.lit(mask))).otherwise(state["done"]).alias("done"),
+        )
+
+    return F.aggregate(spans, start, step, lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text))))
+
+
 def span_list(spans: Column) -> Column:
     """``kind:start:end`` of all spans, joined by commas."""
     one = lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))

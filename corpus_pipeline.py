@@ -1,10 +1,95 @@
-"""A corpus from raw documents: quality, near duplicates, benchmark leaks, secrets, token ids."""
+"""A training corpus from raw documents, in five stages.
+
+Each stage takes the documents that its predecessor kept and returns documents with the same columns;
+the last one returns token ids. Between stages the documents are stored, so a lost executor costs a
+re-read. No statement says what comes out, as tokens and trees are not SQL; tests compare the rows
+with a plain version.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bazaarlens.llm import bpe, decontamination, ngram_join, quality, secrets
+from bazaarlens.llm.common import fold, map_texts, read_table
+from bazaarlens.workspace import materialize
+
+#: Documents with a lower probability of good quality go.
+LEAST_QUALITY = 0.3
+#: Labelled documents that the classifier learns from, at most.
+MOST_LABELLED = 6000
+MASK = "[SECRET]"
+TOKENIZER = "word_bpe_49k.json"
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; null and empty texts are scored as empty."""
+    labels = read_table(spark, sf_dir, "labels")
+    learn_from = fold("doc_id", 5) != 0
+    forest = spark.sparkContext.broadcast(
+        quality.learn(docs, "doc_id", "text", labels, "doc_id", "quality", learn_from, MOST_LABELLED)
+    )
+
+    def score(texts: list[str]) -> dict:
+        return {"__score": quality.probabilities(forest.value, texts)}
+
+    scored = map_texts(docs, docs.columns, score, {"__score": "double"})
+    return scored.filter(F.col("__score") >= LEAST_QUALITY).drop("__score")
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates, the document of the smallest id; a null id is in no group."""
+    found = ngram_join.near_duplicates(docs, "doc_id", "text")
+    dropped = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    ids = docs.agg(F.count("doc_id").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    if ids["rows"] > ids["ids"]:
+        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    return kept.select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark. Rows are told apart by id and text."""
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    leaks = decontamination.find_leaks(keyed, "__key", "text", read_table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return keyed.join(leaks.select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by a mask and the number of characters brought up to date."""
+    text = secrets.masked(F.col("text"), F.col("__spans"), MASK)
+    found = secrets.find_secrets(docs.withColumn("__body", F.col("text")), "__body").withColumnRenamed("spans", "__spans")
+    hit = F.size("__spans") > 0
+    masked = found.withColumn("text", F.when(hit, text).otherwise(F.col("text")))
+    return masked.withColumn("n_chars", F.when(hit, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(
+        *docs.columns
+    )
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256`` of every document."""
+    path = public_tokenizers.path(TOKENIZER)
+    encoded = bpe.encode_texts(docs, "doc_id", "text", path, kept=("lang", "source"), whole=True)
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", keep_one_of_each_group),
+    ("decontamination", drop_leaks),
+    ("secrets", mask_secrets),
+    ("tokens", encode_tokens),
+]
+
+#: Trees, shingle components and token ids are not expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,13 +1,13 @@
 """N-gram Jaccard join: near duplicates by word shingles, with a token-group matrix.
 
 1. Every text becomes its set of hashed shingles. Equal sets are one class.
-2. In any order of all shingles, two sets of similarity t share one of their first n - ceil(t n) + 1
-   shingles. By order of hash, every class posts these. A shingle in few classes gives candidate
-   pairs; how many shingles a pair shares there bounds its overlap, and most candidates end here.
-3. Classes that post a shingle of many classes (a license line, a passage that a third of all
-   documents hold) post all their shingles once more, common ones last in the order. Pairs come from
-   the rare ones, again with a bound. What is left are classes made of common shingles almost
-   alone: members of large families of near copies.
+2. In any order of all shingles, two sets of similarity t share at least l of their first
+   n - ceil(t n) + l shingles. By order of hash, every class posts these for a small l. A shingle in
+   few classes gives candidate pairs; how many shingles a pair shares there bounds its overlap, and
+   most candidates end here. A class with fewer than l common shingles among the posted ones (a
+   license line, a passage that a third of all documents hold) has met all its partners.
+3. The other classes post once more, with an l that grows with the set. What is left then are classes
+   made of common shingles for the most part: members of large families of near copies.
 4. For these, the token-group matrix: classes are sorted so that similar ones are neighbours and cut
    into groups of a fixed size; the matrix says which groups hold a shingle among their first ones.
    Two groups that share one are compared: the overlap of a set with the union of all shingles of
@@ -39,6 +39,10 @@ PERCENT = 80
 FEW = 32
 #: Classes of a group of the token-group matrix.
 GROUP = 128
+#: How many shingles two linked sets share among those posted: at first, and in percent of a set later.
+AT_FIRST, LATER_PERCENT = 8, 30
+#: Bits of the filter that keeps texts of no interest out of a shuffle: half a megabyte, whatever the input.
+_BITS = 1 << 22
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -87,9 +91,21 @@ def set_digest(shingles: np.ndarray) -> int:
     return int(_mixed(shingles.view(np.uint64) ^ _BASE).sum(dtype=np.uint64).view(np.int64))
 
 
-def needed_prefix(n: int, percent: int) -> int:
-    """How many first shingles a set of ``n`` must post."""
-    return n - -(-percent * n // 100) + 1
+def least_part(n: int, percent: int) -> int:
+    """How many of its shingles a set of ``n`` shares at least with a linked one."""
+    return -(-percent * n // 100)
+
+
+def first_posted(n: int, percent: int) -> int:
+    """How many shingles a set of ``n`` posts at first."""
+    least = least_part(n, percent)
+    return n - least + min(AT_FIRST, least)
+
+
+def later_posted(n: int, percent: int) -> int:
+    """How many shingles a set of ``n`` posts later."""
+    least = least_part(n, percent)
+    return n - least + min(least_part(n, LATER_PERCENT), least)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -98,6 +114,11 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def _part(n: Column, percent: int) -> Column:
+    """``least_part`` of a column."""
+    return F.ceil(n * percent / 100.0 - 1e-9)
+
+
 def _least_overlap(n: Column, m: Column, percent: int) -> Column:
     """The least overlap of linked sets of sizes ``n`` and ``m``: percent / (100 + percent) of both."""
     return F.ceil((n + m) * percent / F.lit(100.0 + percent) - 1e-9)
@@ -252,6 +273,56 @@ def _candidates(sets: DataFrame, percent: int, few: int, label: str) -> tuple[Da
     return found.filter("b IS NOT NULL"), common
 
 
+def _bounded(pairs: DataFrame, common: DataFrame, percent: int, unposted) -> DataFrame:
+    """The pairs whose overlap may be large enough, with ``ca`` and ``cb``, the common shingles each has posted.
+
+    They share ``shared`` rare posted shingles, as many common ones as the smaller number, and
+    ``unposted(n)`` others at most.
+    """
+    sides = [common.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("common").alias(f"c{s}")) for s in "ab"]
+    known = pairs.join(sides[0], ["a", "na"], "left").join(sides[1], ["b", "nb"], "left").fillna(0, ["ca", "cb"])
+    most = F.col("shared") + F.least("ca", "cb") + F.greatest(unposted(F.col("na")), unposted(F.col("nb")))
+    return known.filter(most >= _least_overlap(F.col("na"), F.col("nb"), percent))
+
+
+def _bitmap(sids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed set ids of fixed size."""
+    place = (F.pmod(F.col("sid"), F.lit(_BITS)) + 1).alias("place")
+    parts = sids.select(place).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    )
+    found = np.zeros(_BITS // 8, dtype=np.uint8)
+    for row in parts.collect():
+        bits = np.frombuffer(row["bits"], dtype=np.uint8)
+        found[(row["part"] - 1) * len(bits) : row["part"] * len(bits)] = bits
+    return found
+
+
+def _sets_of(rows: DataFrame, wanted: DataFrame, words: int, posted) -> DataFrame:
+    """``doc_id, sid, n, shingles`` of the texts whose set is wanted, and of few others; ``posted(n)`` first shingles."""
+    bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                ids, found = [], []
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    shingles = shingle_set(text or "", words)
+                    sid = set_digest(shingles)
+                    place = sid % _BITS
+                    if doc_id is not None and len(shingles) and bits[place >> 3] >> (place & 7) & 1:
+                        ids.append((doc_id, sid, len(shingles)))
+                        found.append(shingles[: posted(len(shingles))])
+                columns = [pa.array([x[k] for x in ids], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "sid", "n", "shingles"]
+                )
+
+    return rows.mapInArrow(run, "doc_id bigint, sid bigint, n int, shingles array<bigint>")
+
+
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
     sides = [
@@ -313,7 +384,7 @@ def _matrix_links(core: DataFrame, percent: int, group: int) -> DataFrame:
     numbered = materialize(
         core.join(placed.select("sid", "n", F.floor((F.col("place") - 1) / group).alias("group")), ["sid", "n"]), "core"
     )
-    posted = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
+    posted = F.col("n") - _part(F.col("n"), percent) + 1
     matrix = numbered.select(
         "group", F.explode(F.slice("shingles", F.lit(1), posted.cast("int"))).alias("token")
     ).distinct()
@@ -385,7 +456,7 @@ def near_duplicates(
         return {
             "n": [len(s) for s in sets],
             "sid": [set_digest(s) for s in sets],
-            "shingles": [s[: needed_prefix(len(s), percent)] if len(s) else s for s in sets],
+            "shingles": [s[: first_posted(len(s), percent)] for s in sets],
         }
 
     described = map_texts(rows, ["doc_id"], describe, {"n": "int", "sid": "bigint", "shingles": "array<bigint>"})
@@ -393,59 +464,45 @@ def near_duplicates(
     full = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(full.groupBy("sid", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
-    pairs, touched = _candidates(full.select("sid", "n", "shingles"), percent, few, "candidates")
-    marks = [touched.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.lit(1).alias(f"t{s}")) for s in "ab"]
-    posted = [F.col(c) - F.ceil(F.col(c) * percent / 100.0 - 1e-9) + 1 for c in ("na", "nb")]
-    rest = F.greatest(F.col("na") - posted[0], F.col("nb") - posted[1])
+    def part(n: Column) -> Column:
+        return _part(n, percent)
+
+    def later(n: Column) -> Column:
+        return F.least(_part(n, LATER_PERCENT), part(n))
+
+    def crowded(common: Column, n: Column) -> Column:
+        return common >= F.least(F.lit(AT_FIRST), part(n))
+
+    pairs, common = _candidates(full.select("sid", "n", "shingles"), percent, few, "candidates")
+    # What is not posted: the least part but for its first shingles.
+    bounded = _bounded(pairs, common, percent, lambda n: part(n) - F.least(F.lit(AT_FIRST), part(n)))
+    # Two crowded sets meet again.
     light = materialize(
-        pairs.join(marks[0], ["a", "na"], "left").join(marks[1], ["b", "nb"], "left")
-        # Two sets with common shingles are met again, with all their shingles.
-        .filter("ta IS NULL OR tb IS NULL")
-        .filter(F.col("shared") + rest >= _least_overlap(F.col("na"), F.col("nb"), percent))
-        .select("a", "na", "b", "nb"),
+        bounded.filter(~(crowded(F.col("ca"), F.col("na")) & crowded(F.col("cb"), F.col("nb")))).select("a", "na", "b", "nb"),
         "light",
     )
+    crowd = _sets_of(rows, common.filter(crowded(F.col("common"), F.col("n"))), words, lambda n: later_posted(n, percent))
+    more, common = _candidates(crowd.select("sid", "n", "shingles"), percent, few, "crowd")
+    rare = materialize(
+        _bounded(more, common, percent, lambda n: part(n) - later(n)).select("a", "na", "b", "nb").unionByName(light), "rare"
+    )
+    # A partner has at least the least part of the shingles, and posts accordingly.
+    core = common.filter(F.col("common") >= later(part(F.col("n")))).select("sid", "n")
+
     wanted = (
-        touched.select("sid", "n")
-        .unionByName(light.select(F.col("a").alias("sid"), F.col("na").alias("n")))
-        .unionByName(light.select(F.col("b").alias("sid"), F.col("nb").alias("n")))
+        core.unionByName(rare.select(F.col("a").alias("sid"), F.col("na").alias("n")))
+        .unionByName(rare.select(F.col("b").alias("sid"), F.col("nb").alias("n")))
         .distinct()
-        .join(classes, ["sid", "n"])
+        .join(classes.withColumnRenamed("rep", "doc_id"), ["sid", "n"])
     )
-    texts = rows.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("sid", "n", "text")
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
-                found = [shingle_set(t or "", words) for t in part.column("text").to_pylist()]
-                # Another text under the same id is not the one that is wanted.
-                kept = pa.array([set_digest(s) == sid for s, sid in zip(found, part.column("sid").to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("sid").filter(kept), part.column("n").filter(kept), pa.array(found, pa.list_(pa.int64())).filter(kept)],
-                    names=["sid", "n", "shingles"],
-                )
-
-    recomputed = texts.mapInArrow(again, "sid bigint, n int, shingles array<bigint>")
+    exact = _sets_of(rows, wanted, words, lambda n: n).join(wanted, ["sid", "n", "doc_id"], "left_semi")
     ids = sets.agg(F.count("doc_id").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
     if ids["rows"] > ids["ids"]:
-        recomputed = recomputed.dropDuplicates(["sid", "n"])
-    whole = materialize(recomputed, "whole")
-
-    crowd = whole.join(touched.select("sid", "n"), ["sid", "n"], "left_semi")
-    more, common = _candidates(crowd, percent, few, "crowd")
-    sides = [common.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("common").alias(f"c{s}")) for s in "ab"]
-    rare = (
-        more.join(sides[0], ["a", "na"], "left").join(sides[1], ["b", "nb"], "left")
-        .filter(
-            F.col("shared") + F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0)))
-            >= _least_overlap(F.col("na"), F.col("nb"), percent)
-        )
-        .select("a", "na", "b", "nb")
-    )
-    crowded = common.filter(F.col("n") - F.col("common") < F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1)
-    core = whole.join(crowded.select("sid", "n"), ["sid", "n"], "left_semi")
-    links = _verified(light.unionByName(rare), whole, percent).unionByName(_matrix_links(core, percent, group))
+        exact = exact.dropDuplicates(["sid", "n"])
+    whole = materialize(exact.select("sid", "n", "shingles"), "whole")
+    links = _verified(rare, whole, percent).unionByName(
+        _matrix_links(whole.join(core, ["sid", "n"], "left_semi"), percent, group)
+    )
 
     names = [classes.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("rep").alias(f"rep_{s}")) for s in "ab"]
     edges = links.join(names[0], ["a", "na"]).join(names[1], ["b", "nb"]).select(

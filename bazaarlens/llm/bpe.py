@@ -119,9 +119,11 @@ class ChunkEncoder:
     def _learn(self, words: set[bytes]) -> None:
         missing = [w for w in words if w not in self._words]
         texts = [w.decode("utf-8", "surrogatepass") for w in missing]
-        for word, found in zip(missing, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            # Without a decoder in the definition, decoding joins the tokens by one space.
-            self._words[word] = Encoded(len(found.ids), " ".join(map(str, found.ids)), " ".join(found.tokens))
+        ids = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # Without a decoder in the definition, decoding joins the tokens by one space.
+        decoded = self._tokenizer.decode_batch(ids, skip_special_tokens=False)
+        for word, own, tokens in zip(missing, ids, decoded, strict=True):
+            self._words[word] = Encoded(len(own), " ".join(map(str, own)), tokens)
             self.encoded_bytes += len(word)
 
     def encode(self, texts: list[str]) -> list[Encoded]:

@@ -187,6 +187,15 @@ def _gather(percent: int, few: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         for batch in batches:
+            # Rows without a shingle pass through.
+            apart = batch.filter(batch.column("token").is_null())
+            if apart.num_rows:
+                none = pa.nulls(apart.num_rows, pa.int64()), pa.nulls(apart.num_rows, pa.int32())
+                columns = [apart.column("sid"), apart.column("n"), *none, apart.column("common")]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "na", "b", "nb", "shared"])
+            batch = batch.filter(batch.column("token").is_valid())
+            if not batch.num_rows:
+                continue
             now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "common", "n"))
             now += (batch.column("sid").fill_null(0).to_numpy(zero_copy_only=False),)
             if held is not None:
@@ -262,13 +271,9 @@ def _found(a, na, b, nb, shared) -> pa.RecordBatch:
 def _candidates(sets: DataFrame, percent: int, few: int, label: str) -> tuple[DataFrame, DataFrame]:
     """From ``sid, n, shingles``: pairs ``a, na, b, nb, shared``, and ``sid, n, common`` of sets with common shingles."""
     posted = sets.mapInArrow(_post(few), _POSTED)
-    by_token = posted.filter("token IS NOT NULL").repartition("token").sortWithinPartitions("token")
+    by_token = posted.repartition(F.coalesce("token", "sid")).sortWithinPartitions("token")
     gathered = by_token.mapInArrow(_gather(percent, few), _FOUND)
-    alone = posted.filter("token IS NULL").select(
-        F.col("sid").alias("a"), F.col("n").alias("na"), F.lit(None).cast("bigint").alias("b"),
-        F.lit(None).cast("int").alias("nb"), F.col("common").alias("shared"),
-    )
-    found = materialize(gathered.unionByName(alone).groupBy("a", "na", "b", "nb").agg(F.sum("shared").alias("shared")), label)
+    found = materialize(gathered.groupBy("a", "na", "b", "nb").agg(F.sum("shared").alias("shared")), label)
     common = found.filter("b IS NULL").select(F.col("a").alias("sid"), F.col("na").alias("n"), F.col("shared").alias("common"))
     return found.filter("b IS NOT NULL"), common
 
@@ -373,6 +378,25 @@ def open_groups(
     return [(opened[r], int(c)) for r, c in zip(rows, columns, strict=True) if not same or opened[r] < c]
 
 
+def spanning(links: list[tuple[int, int]], same: bool) -> list[tuple[int, int]]:
+    """Links that connect as much as all of them, fewer than there are sets; see ``open_groups``."""
+    parent: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def root(x: tuple[int, int]) -> tuple[int, int]:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for i, j in links:
+        a, b = root((0, i)), root((0 if same else 1, j))
+        if a != b:
+            parent[a] = b
+            kept.append((i, j))
+    return kept
+
+
 def _matrix_links(core: DataFrame, percent: int, group: int) -> DataFrame:
     """Links among sets ``sid, n, shingles`` by the token-group matrix."""
     order = ["first", "second", "sid", "n"]
@@ -421,9 +445,8 @@ def _matrix_links(core: DataFrame, percent: int, group: int) -> DataFrame:
                         )
                     )
                 (sid, n, left), (sid_b, n_b, right) = sides
-                links.extend(
-                    (sid[i], n[i], sid_b[j], n_b[j]) for i, j in open_groups(left, right, percent, g == o)
-                )
+                pairs = spanning(open_groups(left, right, percent, g == o), g == o)
+                links.extend((sid[i], n[i], sid_b[j], n_b[j]) for i, j in pairs)
             table = np.array(links, dtype=np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(table[:, k], pa.int64()).cast(t) for k, t in enumerate((pa.int64(), pa.int32()) * 2)],

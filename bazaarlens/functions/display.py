@@ -12,6 +12,18 @@ def money(value: Column) -> Column:
     return F.concat(F.lit("R$"), F.format_number(value.cast("double"), 2))
 
 
+def millions(value: Column) -> Column:
+    return F.concat(F.lit("R$"), F.format_number(value.cast("double") / 1e6, 2), F.lit("M"))
+
+
+def thousands(value: Column) -> Column:
+    return F.concat(F.lit("R$"), F.format_number(value.cast("double") / 1e3, 1), F.lit("K"))
+
+
+def out_of_five(value: Column) -> Column:
+    return F.concat(F.format_number(value.cast("double"), 2), F.lit(" / 5"))
+
+
 def percent_1(value: Column) -> Column:
     return F.concat(F.format_number(value.cast("double"), 1), F.lit("%"))
 

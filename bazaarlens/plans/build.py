@@ -163,7 +163,8 @@ def build_dim_geography(
 
 def payments_per_order(payments: DataFrame) -> DataFrame:
     return payments.groupBy("order_id").agg(
-        numbers.sum_money(F.col("payment_value")).alias("total_payment"),
+        # Amounts that are all missing add up to 0.
+        numbers.sum_money(F.coalesce("payment_value", F.lit(0))).alias("total_payment"),
         F.max("payment_installments").alias("num_installments"),
         most_common("payment_type").alias("payment_type"),
     )
@@ -182,8 +183,8 @@ def items_per_order(order_items: DataFrame, order: Sequence[str] = ITEM_ORDER) -
     return order_items.groupBy("order_id").agg(
         first_present("product_id", by).alias("product_id"),
         first_present("seller_id", by).alias("seller_id"),
-        numbers.sum_money(F.col("freight_value")).alias("total_freight"),
-        numbers.sum_money(F.col("price")).alias("total_price"),
+        numbers.sum_money(F.coalesce("freight_value", F.lit(0))).alias("total_freight"),
+        numbers.sum_money(F.coalesce("price", F.lit(0))).alias("total_price"),
         F.count("order_item_id").alias("qty"),
     )
 

@@ -11,8 +11,8 @@ from bazaarlens.model import Mart
 
 
 def _sales_days(mart: Mart) -> DataFrame:
-    """Fact rows with their day; the calendar side has one row per day and is broadcast."""
-    days = F.broadcast(mart.dim_date.select("date_key", "full_date"))
+    """Fact rows with their day; the calendar side has one row per day and is left to the planner, which checks its size."""
+    days = mart.dim_date.select("date_key", "full_date")
     return mart.fact.filter(F.col("customer_key").isNotNull()).join(days, "date_key")
 
 

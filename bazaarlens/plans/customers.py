@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.numbers import half_even_score, percent, zero_if_null
@@ -26,12 +26,21 @@ def repeat_buyers(mart: Mart) -> DataFrame:
 
 
 def repeat_order_histogram(mart: Mart) -> DataFrame:
-    """Repeat buyers by their number of orders; empty where nobody came back."""
-    return (
+    """Repeat buyers by every number of orders from two to the largest; no rows where nobody came back.
+
+    The window has one row per number that occurs; the numbers between are made from the gap before.
+    """
+    counts = (
         _orders_per_customer(mart)
         .filter("order_count > 1")
-        .groupBy("order_count")
-        .agg(F.count("*").alias("customers"))
+        .groupBy(F.col("order_count").alias("at"))
+        .agg(F.count("*").alias("found"))
+    )
+    before = F.coalesce(F.lag("at").over(Window.orderBy("at")), F.lit(1))
+    return (
+        counts.withColumn("before", before)
+        .select("at", "found", F.explode(F.sequence(F.col("before") + 1, F.col("at"))).alias("order_count"))
+        .select("order_count", F.when(F.col("order_count") == F.col("at"), F.col("found")).otherwise(F.lit(0)).alias("customers"))
         .orderBy("order_count")
     )
 

@@ -51,7 +51,7 @@ def _parts() -> dict[str, Column]:
 def totals(mart: Mart, by: Sequence[str] = (), keep_null_groups: bool = False) -> DataFrame:
     """The additive parts of all measures per group; unused parts are pruned by the planner.
 
-    Date attributes come from the calendar, whose size no fact can raise, by a broadcast. For any
+    Date attributes come from the calendar, whose size no fact can raise. For any
     other dimension the fact is first reduced to one row per surrogate key, inside each task and
     then across them, and only these rows meet the dimension. So a key that holds a third of the
     fact is one row by the time it is joined, and the join needs no other partitioning than that
@@ -65,7 +65,7 @@ def totals(mart: Mart, by: Sequence[str] = (), keep_null_groups: bool = False) -
     key_of = {dim: key for dim, key, _ in ATTRIBUTES.values()}
     fact = mart.fact
     if "dim_date" in wanted:
-        fact = fact.join(F.broadcast(mart.dim_date.select(*wanted.pop("dim_date"))), "date_key", "left")
+        fact = fact.join(mart.dim_date.select(*wanted.pop("dim_date")), "date_key", "left")
     later = {name for name in by if name in ATTRIBUTES and ATTRIBUTES[name][0] in wanted}
     keys = [name for name in by if name not in later] + [key_of[dim] for dim in wanted]
     result = fact.groupBy(*keys).agg(*[part.alias(name) for name, part in _parts().items()])
@@ -80,7 +80,7 @@ def totals(mart: Mart, by: Sequence[str] = (), keep_null_groups: bool = False) -
 
 def enrich(mart: Mart) -> DataFrame:
     """The fact with date, category and customer attributes; unmatched keys give nulls."""
-    days = F.broadcast(
+    days = (
         mart.dim_date.select("date_key", "year", "quarter", "month", "month_name", "day_of_week", "is_weekend")
     )
     return (

@@ -53,6 +53,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, multiline: bo
         spark.read.option("header", True)
         .option("escape", '"')
         .option("multiLine", multiline)
+        # The first file names the columns; a file with another header is an error.
+        .option("enforceSchema", False)
         .csv(path)
     )
     known = {field.name: field.dataType for field in schema.fields}
@@ -70,7 +72,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, multiline: bo
 def read_raw(
     spark: SparkSession, folder: str, files: Mapping[str, str] = RAW_FILES
 ) -> dict[str, DataFrame]:
-    """The nine raw tables."""
+    """The nine raw tables, each from one file, or from one folder of files with the same header."""
+    for pattern in files.values():
+        found = spark.read.text(f"{folder.rstrip('/')}/{pattern}").inputFiles()
+        sources = {f if f.endswith(pattern.lstrip("*")) else f.rsplit("/", 1)[0] for f in found}
+        if len(sources) > 1:
+            raise ValueError(f"{pattern} fits more than one source: {', '.join(sorted(sources))}")
     return {
         name: read_csv(spark, f"{folder.rstrip('/')}/{files[name]}", schema, name in _MULTILINE)
         for name, schema in RAW_SCHEMAS.items()

@@ -10,6 +10,12 @@ from bazaarlens.model import STAR_SCHEMAS, Mart
 from bazaarlens.workspace import at_once
 
 
+# Blanks around a text are part of it.
+_AS_WRITTEN = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# An empty cell is missing and a quoted empty one is an empty text, as no text equals this one.
+_NO_TEXT = "\0"
+
+
 def _layout(name: str, df: DataFrame) -> DataFrame:
     """File layout of a table.
 
@@ -26,7 +32,7 @@ def _layout(name: str, df: DataFrame) -> DataFrame:
 def _write(df: DataFrame, target: str, fmt: str) -> None:
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(target)
+        writer.options(header=True, escape='"', **_AS_WRITTEN).csv(target)
     else:
         writer.format(fmt).save(target)
 
@@ -61,7 +67,7 @@ def read_star(
         schema = T.StructType([T.StructField(f.name, overrides.get(f.name, f.dataType)) for f in schema.fields])
         path = f"{folder.rstrip('/')}/{name}"
         if fmt == "csv":
-            text = spark.read.option("header", True).option("escape", '"').csv(f"{path}.csv")
+            text = spark.read.options(header=True, escape='"', nullValue=_NO_TEXT, **_AS_WRITTEN).csv(f"{path}.csv")
             tables[name] = text.select(
                 *[
                     (

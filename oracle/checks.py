@@ -375,8 +375,9 @@ STATEMENTS: dict[str, str] = {
         f"SELECT buyer_type, customers, {_share('customers')} AS share_pct FROM buyer", CUSTOMER_ORDERS
     ),
     "repeat_order_histogram": over_star(
-        """SELECT order_count, count(*) AS customers FROM customer_orders WHERE order_count > 1
-           GROUP BY order_count""",
+        """SELECT bins.order_count, count(o.order_count) AS customers
+           FROM (SELECT unnest(generate_series(2, (SELECT max(order_count) FROM customer_orders))) AS order_count) bins
+           LEFT JOIN customer_orders o ON o.order_count = bins.order_count GROUP BY bins.order_count""",
         CUSTOMER_ORDERS,
     ),
     "review_distribution": over_star(

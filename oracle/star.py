@@ -132,7 +132,7 @@ payment_mode AS (
   QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY count(*) DESC, payment_type) = 1
 ),
 order_payments AS (
-  SELECT order_id, CAST(sum(payment_value) AS DECIMAL(18,2)) AS total_payment,
+  SELECT order_id, CAST(sum(coalesce(payment_value, 0)) AS DECIMAL(18,2)) AS total_payment,
          max(payment_installments) AS num_installments, any_value(m.payment_type) AS payment_type
   FROM raw_payments JOIN payment_mode m USING (order_id) GROUP BY order_id
 ),
@@ -146,8 +146,8 @@ item_first AS (
 ),
 order_items AS (
   SELECT order_id, any_value(f.product_id) AS product_id, any_value(f.seller_id) AS seller_id,
-         CAST(sum(freight_value) AS DECIMAL(18,2)) AS total_freight,
-         CAST(sum(price) AS DECIMAL(18,2)) AS total_price, count(order_item_id) AS qty
+         CAST(sum(coalesce(freight_value, 0)) AS DECIMAL(18,2)) AS total_freight,
+         CAST(sum(coalesce(price, 0)) AS DECIMAL(18,2)) AS total_price, count(order_item_id) AS qty
   FROM raw_order_items JOIN item_first f USING (order_id) GROUP BY order_id
 ),
 filled_orders AS (

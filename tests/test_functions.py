@@ -87,3 +87,12 @@ def test_display(spark):
         "total_orders": "1,200",
         "late_order_rate_pct": "7.9%",
     }
+
+
+def test_scaled_amounts(spark):
+    from bazaarlens.functions import display
+
+    row = spark.range(1).select(
+        display.millions(F.lit(13591643.7)), display.thousands(F.lit(1234.5)), display.out_of_five(F.lit(4.086))
+    ).first()
+    assert tuple(row) == ("R$13.59M", "R$1.2K", "4.09 / 5")

@@ -55,7 +55,7 @@ def revenue_yoy(mart: Mart, grain: str = "month") -> DataFrame:
     """
     period = GRAINS[grain]
     days = _by_day(mart)
-    calendar = (mart.dim_date.select("full_date", *[c for c in period if c != "full_date"]))
+    calendar = mart.dim_date.select("full_date", *[c for c in period if c != "full_date"])
     earlier = (
         days.select(F.add_months("full_date", 12).alias("full_date"), "revenue")
         .join(calendar, "full_date")

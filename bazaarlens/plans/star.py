@@ -80,9 +80,7 @@ def totals(mart: Mart, by: Sequence[str] = (), keep_null_groups: bool = False) -
 
 def enrich(mart: Mart) -> DataFrame:
     """The fact with date, category and customer attributes; unmatched keys give nulls."""
-    days = (
-        mart.dim_date.select("date_key", "year", "quarter", "month", "month_name", "day_of_week", "is_weekend")
-    )
+    days = mart.dim_date.select("date_key", "year", "quarter", "month", "month_name", "day_of_week", "is_weekend")
     return (
         mart.fact.join(days, "date_key", "left")
         .join(mart.dim_product.select("product_key", "category_en"), "product_key", "left")

@@ -69,19 +69,24 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, multiline: bo
     return text.select(*[_typed(name, known.get(name)) for name in text.columns], place)
 
 
+def _check_one_source(spark: SparkSession, path: str) -> None:
+    """A table is one file, or one folder of files; another file that fits the pattern is an error."""
+    ending = path.rsplit("/", 1)[-1].lstrip("*")
+    sources = {f if f.endswith(ending) else f.rsplit("/", 1)[0] for f in spark.read.text(path).inputFiles()}
+    if len(sources) > 1:
+        raise ValueError(f"{path} fits more than one source: {', '.join(sorted(sources))}")
+
+
 def read_raw(
     spark: SparkSession, folder: str, files: Mapping[str, str] = RAW_FILES
 ) -> dict[str, DataFrame]:
     """The nine raw tables, each from one file, or from one folder of files with the same header."""
-    for pattern in files.values():
-        found = spark.read.text(f"{folder.rstrip('/')}/{pattern}").inputFiles()
-        sources = {f if f.endswith(pattern.lstrip("*")) else f.rsplit("/", 1)[0] for f in found}
-        if len(sources) > 1:
-            raise ValueError(f"{pattern} fits more than one source: {', '.join(sorted(sources))}")
-    return {
-        name: read_csv(spark, f"{folder.rstrip('/')}/{files[name]}", schema, name in _MULTILINE)
-        for name, schema in RAW_SCHEMAS.items()
-    }
+    tables = {}
+    for name, schema in RAW_SCHEMAS.items():
+        path = f"{folder.rstrip('/')}/{files[name]}"
+        _check_one_source(spark, path)
+        tables[name] = read_csv(spark, path, schema, name in _MULTILINE)
+    return tables
 
 
 def missing_files(

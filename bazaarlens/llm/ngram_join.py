@@ -416,36 +416,31 @@ def _matrix_links(core: DataFrame, percent: int, group: int) -> DataFrame:
     spans = numbered.groupBy("group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     far = spans.select(F.col("group").alias("other"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
     wanted = (
-        matrix.join(other, "token").filter("group <= other").select("group", "other").distinct()
+        matrix.join(other, "token").filter("group < other").select("group", "other").distinct()
         .join(spans, "group").join(far, "other")
         .filter((F.col("high") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low") * percent))
         .select("group", "other")
     )
-    # At most ``group`` sets in a row.
+    # At most ``group`` sets in a row. Each side of a pair travels once; a group needs no copy to meet itself.
     rows = numbered.groupBy("group").agg(F.collect_list(F.struct("sid", "n", "shingles")).alias("sets"))
-    both = wanted.join(rows, "group").join(
-        rows.select(F.col("group").alias("other"), F.col("sets").alias("others")), "other"
-    )
+    theirs = rows.select(F.col("group").alias("other"), F.col("sets").alias("others"))
+    both = wanted.join(rows, "group").join(wanted.join(theirs, "other"), ["group", "other"])
+    alone = rows.withColumn("others", F.lit(None).cast(rows.schema["sets"].dataType))
+
+    def opened_row(sets: pa.ListScalar) -> tuple[list[int], list[int], list[np.ndarray]]:
+        """Ids, sizes and shingles of the sets of a group."""
+        one = sets.values
+        shingles = [x.values.to_numpy(zero_copy_only=False) for x in one.field("shingles")]
+        return one.field("sid").to_pylist(), one.field("n").to_pylist(), shingles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = []
-            for g, o, mine, theirs in zip(
-                batch.column("group").to_pylist(), batch.column("other").to_pylist(),
-                batch.column("sets"), batch.column("others"), strict=True,
-            ):
-                sides = []
-                for one in (mine, theirs):
-                    rows_of = one.values
-                    sides.append(
-                        (
-                            rows_of.field("sid").to_pylist(),
-                            rows_of.field("n").to_pylist(),
-                            [x.values.to_numpy(zero_copy_only=False) for x in rows_of.field("shingles")],
-                        )
-                    )
-                (sid, n, left), (sid_b, n_b, right) = sides
-                pairs = spanning(open_groups(left, right, percent, g == o), g == o)
+            for mine, theirs in zip(batch.column("sets"), batch.column("others"), strict=True):
+                sid, n, left = opened_row(mine)
+                same = not theirs.is_valid
+                sid_b, n_b, right = (sid, n, left) if same else opened_row(theirs)
+                pairs = spanning(open_groups(left, right, percent, same), same)
                 links.extend((sid[i], n[i], sid_b[j], n_b[j]) for i, j in pairs)
             table = np.array(links, dtype=np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
@@ -453,7 +448,8 @@ def _matrix_links(core: DataFrame, percent: int, group: int) -> DataFrame:
                 names=["a", "na", "b", "nb"],
             )
 
-    return both.repartition(F.col("group"), F.col("other")).mapInArrow(run, "a bigint, na int, b bigint, nb int")
+    links = "a bigint, na int, b bigint, nb int"
+    return both.mapInArrow(run, links).unionByName(alone.mapInArrow(run, links))
 
 
 def near_duplicates(

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bazaarlens.workspace import at_once, materialize
+
 Tables = Mapping[str, DataFrame]
 
 
@@ -51,31 +53,49 @@ def null_counts(tables: Tables) -> DataFrame:
     return null_profile(tables).filter("null_count > 0").select("table_name", "column_name", "null_count")
 
 
+_HASH = "__row_hash"
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    return df.withColumn(_HASH, F.xxhash64(*df.columns))
+
+
+def _repeated(tables: Tables) -> dict[str, DataFrame]:
+    """Per table, the row hashes that occur more than once, stored: the planner knows their size.
+
+    Only hashes travel here, and equal ones collapse inside each task first.
+    """
+
+    def step(name: str, df: DataFrame) -> DataFrame:
+        found = _hashed(df).groupBy(_HASH).agg(F.count("*").alias("copies")).filter("copies > 1").select(_HASH)
+        return materialize(found, f"repeated-{name}")
+
+    return at_once({name: partial(step, name, df) for name, df in tables.items()})
+
+
 def duplicate_rows(tables: Tables) -> DataFrame:
     """Rows that repeat an earlier full row: ``table_name, duplicate_rows`` per table.
 
-    Equal rows collapse inside each task first, so many copies of one row do not travel.
+    Whole rows are compared only where their hash occurs twice, so a row without a double stays in
+    its task as long as the planner can broadcast the repeated hashes. Rows that share a hash by
+    chance are told apart by that comparison.
     """
-    return _stacked(
-        [
-            df.groupBy(*df.columns)
+    repeated = _repeated(tables)
+
+    def count(name: str, df: DataFrame) -> DataFrame:
+        candidates = _hashed(df).join(repeated[name], _HASH, "left_semi")
+        return (
+            candidates.groupBy(*df.columns)
             .agg(F.count("*").alias("copies"))
             .agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
             .select(F.lit(name).alias("table_name"), "duplicate_rows")
-            for name, df in tables.items()
-        ]
-    )
+        )
 
+    return _stacked([count(name, df) for name, df in tables.items()])
 
-def issue_count(tables: Tables) -> DataFrame:
-    """One issue per table with nulls plus one per table with duplicate rows, in one scan each."""
 
-    def issues(df: DataFrame) -> DataFrame:
-        any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in df.columns])
-        found = df.groupBy(*df.columns).agg(F.count("*").alias("copies")).agg(
-            F.bool_or(any_null).alias("nulls"), F.bool_or(F.col("copies") > 1).alias("duplicates")
-        )
-        flags = [F.coalesce(F.col(c).cast("bigint"), F.lit(0)) for c in ("nulls", "duplicates")]
-        return found.select((flags[0] + flags[1]).alias("issues"))
-
-    return _stacked([issues(df) for df in tables.values()]).agg(F.sum("issues").alias("issues"))
+def issue_count(tables: Tables) -> DataFrame:
+    """One issue per table with nulls plus one per table with duplicate rows."""
+    with_nulls = null_counts(tables).select(F.countDistinct("table_name").alias("issues"))
+    doubled = duplicate_rows(tables).select(F.count_if(F.col("duplicate_rows") > 0).alias("issues"))
+    return with_nulls.unionByName(doubled).agg(F.sum("issues").alias("issues"))

@@ -101,6 +101,16 @@ def test_quality_reports(spark):
     assert quality.issue_count({"clean": clean}).first().issues == 0
 
 
+def test_duplicates_are_told_apart_from_rows_of_equal_hash(spark):
+    """Nulls do not enter the hash, so these rows share one; only the last repeats another."""
+    df = spark.createDataFrame([(1, None), (None, 1), (1, None)], "a int, b int")
+    assert df.select(F.xxhash64("a", "b")).distinct().count() == 1
+    assert quality.duplicate_rows({"t": df}).first().duplicate_rows == 1
+    nothing = spark.createDataFrame([], "a int, b int")
+    assert quality.duplicate_rows({"t": nothing}).first().duplicate_rows == 0
+    assert quality.issue_count({"t": nothing}).first().issues == 0
+
+
 @pytest.mark.parametrize("values", [list(range(61)), [3], [-20, -20, 7, 59, 0, 0, 13], [0, 40], [1, 2, 2, 5]])
 def test_histogram_equals_numpy(spark, values):
     counts = spark.createDataFrame([(v,) for v in values], "v long").groupBy("v").agg(F.count("*").alias("n"))

@@ -228,9 +228,12 @@ def _registry() -> dict[str, Query]:
         "late_rate_status": _on_mart(lambda m: measures.late_rate_status(m, ["year", "month"])),
         "revenue_yoy": _on_mart(measures.revenue_yoy),
         "revenue_yoy_by_year": _on_mart(lambda m: measures.revenue_yoy(m, "year")),
+        "revenue_yoy_by_category_month": _on_mart(lambda m: measures.revenue_yoy(m, "month", ["category_en"])),
         "rolling_30d_calendar": _on_mart(measures.rolling_30d_calendar),
+        "rolling_30d_by_state": _on_mart(lambda m: measures.rolling_30d_calendar(m, "day", ["state"])),
         "revenue_mtd": _on_mart(measures.revenue_mtd),
         "revenue_mtd_by_month": _on_mart(lambda m: measures.revenue_mtd(m, "month")),
+        "revenue_mtd_by_category": _on_mart(lambda m: measures.revenue_mtd(m, "month", ["category_en"])),
     }
 
 

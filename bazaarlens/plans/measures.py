@@ -40,39 +40,47 @@ def late_rate_status(mart: Mart, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _by_day(mart: Mart) -> DataFrame:
-    """Every calendar day with its revenue, null without sales: as many rows as days."""
-    revenue = mart.fact.groupBy("date_key").agg(F.sum("total_payment").alias("revenue"))
-    return mart.dim_date.join(revenue, "date_key", "left")
+def _by_day(mart: Mart, by: Sequence[str] = ()) -> DataFrame:
+    """Every calendar day with its revenue, null without sales: as many rows as days.
+
+    With attributes, one row per day and group that has revenue, with the attributes of the day.
+    """
+    if not by:
+        revenue = mart.fact.groupBy("date_key").agg(F.sum("total_payment").alias("revenue"))
+        return mart.dim_date.join(revenue, "date_key", "left")
+    daily = totals(mart, [*by, "date_key"], keep_null_groups=True).filter("payment_sum IS NOT NULL")
+    return daily.select(*by, "date_key", F.col("payment_sum").alias("revenue")).join(mart.dim_date, "date_key")
 
 
-def revenue_yoy(mart: Mart, grain: str = "month") -> DataFrame:
+def revenue_yoy(mart: Mart, grain: str = "month", by: Sequence[str] = ()) -> DataFrame:
     """Revenue against the same days a year before, in percent; 0 where there is no earlier revenue.
 
     Single days are moved forward by a year and kept only where the calendar has them, before they
     are summed: a period that has only begun is compared with the same part of its predecessor.
-    29 February counts with 28 February of the next year.
+    29 February counts with 28 February of the next year. With attributes, a group has a row for
+    each period in which it has revenue or earlier revenue.
     """
     period = GRAINS[grain]
-    days = _by_day(mart)
+    keys = [*by, *period]
+    days = _by_day(mart, by)
     calendar = mart.dim_date.select("full_date", *[c for c in period if c != "full_date"])
-    earlier = (
-        days.select(F.add_months("full_date", 12).alias("full_date"), "revenue")
-        .join(calendar, "full_date")
-        .groupBy(*period)
-        .agg(F.sum("revenue").alias("prior_revenue"))
+    earlier = days.select(*by, F.add_months("full_date", 12).alias("full_date"), "revenue").join(calendar, "full_date")
+    none = F.lit(None).cast(days.schema["revenue"].dataType)
+    # Both sides are added up together: no join of groups, whose attributes may be null.
+    both = days.select(*keys, "revenue", none.alias("prior_revenue")).unionByName(
+        earlier.select(*keys, none.alias("revenue"), F.col("revenue").alias("prior_revenue"))
     )
-    current = days.groupBy(*period).agg(F.sum("revenue").alias("revenue"))
     growth = zero_if_null(F.col("revenue")) - F.col("prior_revenue")
     return (
-        current.join(earlier, period, "left")
+        both.groupBy(*keys)
+        .agg(F.sum("revenue").alias("revenue"), F.sum("prior_revenue").alias("prior_revenue"))
         .select(
-            *period,
+            *keys,
             "revenue",
             "prior_revenue",
             (safe_divide(growth, F.col("prior_revenue")) * 100.0).alias("revenue_yoy_pct"),
         )
-        .orderBy(*period)
+        .orderBy(*keys)
     )
 
 
@@ -88,18 +96,44 @@ def _last_of_period(days: DataFrame, grain: str, value: str) -> DataFrame:
     )
 
 
-def rolling_30d_calendar(mart: Mart, grain: str = "day") -> DataFrame:
+def _spread(mart: Mart, by: Sequence[str], until: Column, grain: str, value: str) -> DataFrame:
+    """Per group and calendar day, the revenue of all days that count up to it: each counts ``until`` a day.
+
+    A day of a group is handed to the few days it counts on, so no table of all groups by all days
+    is needed. A group has no row where none of its days counts.
+    """
+    period = GRAINS[grain]
+    daily = _by_day(mart, by).select(*by, "revenue", F.explode(F.sequence("full_date", until)).alias("full_date"))
+    if grain == "day":
+        ends = mart.dim_date.select("full_date")
+        keys = [*by, "full_date"]
+    else:
+        last = mart.dim_date.groupBy(*period).agg(F.max("full_date").alias("full_date"))
+        ends = last.withColumn("last_date", F.col("full_date"))
+        keys = [*by, *period, "last_date"]
+    return daily.join(ends, "full_date").groupBy(*keys).agg(F.sum("revenue").alias(value)).orderBy(*keys)
+
+
+def rolling_30d_calendar(mart: Mart, grain: str = "day", by: Sequence[str] = ()) -> DataFrame:
     """Revenue of the 30 calendar days up to the last day of the period, all orders.
 
-    The window runs on the calendar, one row per day.
+    The window runs on the calendar, one row per day. With attributes, groups without revenue in
+    those days have no row.
     """
+    if by:
+        return _spread(mart, by, F.date_add("full_date", 29), grain, "rolling_30d_revenue")
     window = Window.orderBy(F.unix_date("full_date")).rangeBetween(-29, 0)
     days = _by_day(mart).withColumn("rolling_30d_revenue", F.sum("revenue").over(window))
     return _last_of_period(days, grain, "rolling_30d_revenue")
 
 
-def revenue_mtd(mart: Mart, grain: str = "day") -> DataFrame:
-    """Revenue since the first of the month, up to the last day of the period."""
+def revenue_mtd(mart: Mart, grain: str = "day", by: Sequence[str] = ()) -> DataFrame:
+    """Revenue since the first of the month, up to the last day of the period.
+
+    With attributes, groups without revenue in those days have no row.
+    """
+    if by:
+        return _spread(mart, by, F.last_day("full_date"), grain, "revenue_mtd")
     window = (
         Window.partitionBy("year", "month")
         .orderBy("full_date")

@@ -167,6 +167,11 @@ BY_DAY = """by_day AS (
   LEFT JOIN (SELECT date_key, sum(total_payment) AS revenue FROM fact GROUP BY date_key) USING (date_key)
 )"""
 
+GROUP_DAYS = """group_days AS (
+  SELECT {0}, full_date, sum(total_payment) AS revenue FROM sales
+  WHERE full_date IS NOT NULL AND total_payment IS NOT NULL GROUP BY {0}, full_date
+)"""
+
 
 def _histogram(condition: str, mean_condition: str) -> str:
     return over_star(
@@ -530,4 +535,27 @@ STATEMENTS: dict[str, str] = {
            FROM by_day GROUP BY year, month""",
         BY_DAY,
     ),
+    "revenue_yoy_by_category_month": over_star(
+        f"""SELECT category_en, year, month, CAST(now AS DOUBLE) AS revenue, CAST(before AS DOUBLE) AS prior_revenue,
+              coalesce({quotient("coalesce(now, 0) - before", "before")}, 0) * 100 AS revenue_yoy_pct
+            FROM (SELECT category_en, year, month, sum(now) AS now, sum(before) AS before
+                  FROM (SELECT category_en, full_date, revenue AS now, NULL AS before FROM group_days
+                        UNION ALL
+                        SELECT category_en, CAST(full_date + INTERVAL 1 YEAR AS DATE), NULL, revenue FROM group_days)
+                  JOIN dim_date USING (full_date) GROUP BY category_en, year, month)""",
+        GROUP_DAYS.format("category_en"),
+    ),
+    "rolling_30d_by_state": over_star(
+        """SELECT state, d.full_date, CAST(sum(revenue) AS DOUBLE) AS rolling_30d_revenue
+           FROM dim_date d JOIN group_days g ON g.full_date BETWEEN d.full_date - 29 AND d.full_date
+           GROUP BY state, d.full_date""",
+        GROUP_DAYS.format("state"),
+    ),
+    "revenue_mtd_by_category": over_star(
+        """SELECT category_en, year, month, last_date, CAST(sum(revenue) AS DOUBLE) AS revenue_mtd
+           FROM group_days JOIN dim_date USING (full_date)
+           JOIN (SELECT year, month, max(full_date) AS last_date FROM dim_date GROUP BY year, month) USING (year, month)
+           GROUP BY category_en, year, month, last_date""",
+        GROUP_DAYS.format("category_en"),
+    ),
 }

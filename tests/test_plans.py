@@ -62,6 +62,31 @@ def test_year_over_year_compares_the_same_days(make_mart):
     assert days[date(2017, 3, 5)].revenue_yoy_pct == -100.0
 
 
+def test_time_measures_by_an_attribute(make_mart):
+    products = [{"product_key": 1, "category_en": "toys"}, {"product_key": 2, "category_en": None}]
+    facts = [
+        {"date_key": 20200110, "product_key": 1, "total_payment": 10},
+        {"date_key": 20200120, "product_key": 1, "total_payment": 5},
+        {"date_key": 20200120, "product_key": 2, "total_payment": 7},
+        {"date_key": 20200121, "product_key": None, "total_payment": 1},
+        {"date_key": 20200122, "product_key": 2, "total_payment": None},
+        {"date_key": 20210115, "product_key": 1, "total_payment": 40},
+    ]
+    mart = make_mart(facts, date(2020, 1, 10), date(2021, 1, 20), products=products)
+    by = ["category_en"]
+    yoy = {(r.category_en, r.year): r for r in measures.revenue_yoy(mart, "month", by).collect()}
+    assert set(yoy) == {("toys", 2020), (None, 2020), ("toys", 2021), (None, 2021)}
+    assert (yoy["toys", 2021].revenue, yoy["toys", 2021].prior_revenue) == (40, 15)
+    # 21 January 2021 is beyond the calendar, so its partner of the year before does not count.
+    assert (yoy[None, 2021].revenue, yoy[None, 2021].prior_revenue, yoy[None, 2021].revenue_yoy_pct) == (None, 7, -100.0)
+    rolling = {(r.category_en, r.full_date): r.rolling_30d_revenue for r in measures.rolling_30d_calendar(mart, "day", by).collect()}
+    assert (rolling["toys", date(2020, 2, 8)], rolling["toys", date(2020, 2, 9)]) == (15, 5)
+    assert (rolling[None, date(2020, 1, 20)], rolling[None, date(2020, 1, 21)]) == (7, 8)
+    assert ("toys", date(2020, 2, 19)) not in rolling and max(d for _, d in rolling) == date(2021, 1, 20)
+    mtd = {(r.category_en, r.last_date): r.revenue_mtd for r in measures.revenue_mtd(mart, "month", by).collect()}
+    assert mtd == {("toys", date(2020, 1, 31)): 15, (None, date(2020, 1, 31)): 8, ("toys", date(2021, 1, 20)): 40}
+
+
 def test_measures_divide_by_all_orders(make_mart):
     facts = [
         {"date_key": 20200101, "total_payment": 10, "is_late": 1, "avg_review_score": 4.0},

@@ -27,6 +27,8 @@ _CODES = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 _BMP = 1 << 16
 #: Rows whose n-gram presences are held at once.
 _BLOCK = 256
+#: Parts in which the first rows of a language are sought.
+PARTS = 256
 
 
 def has_letter(text: str) -> bool:
@@ -144,9 +146,15 @@ def training_sample(
     labelled = df.filter(learn_from & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.xxhash64(F.col(id_col)).alias("__order")
     )
-    place = Window.partitionBy("__lang").orderBy("__order", "__id")
+    order = [F.col("__order"), F.col("__id")]
+    # First among the rows of some tasks, then among those found: no task meets all rows of a language.
+    some = Window.partitionBy("__lang", "__part").orderBy(*order)
+    place = Window.partitionBy("__lang").orderBy(*order)
     ids = (
-        labelled.withColumn("__n", F.row_number().over(place))
+        labelled.withColumn("__part", F.spark_partition_id() % PARTS)
+        .withColumn("__n", F.row_number().over(some))
+        .filter(F.col("__n") <= per_class)
+        .withColumn("__n", F.row_number().over(place))
         .filter(F.col("__n") <= per_class)
         .orderBy("__n", "__lang")
         .limit(most)

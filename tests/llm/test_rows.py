@@ -211,6 +211,22 @@ def test_open_blocks_that_pages_share_go(spark):
     assert got == {i: f"only page {i} says {i * 7} things" for i in range(6)}
 
 
+@pytest.mark.parametrize("group_pages", [3, 500])
+def test_open_blocks_that_two_pages_share_go_whatever_the_size_of_groups(spark, group_pages):
+    rng = np.random.default_rng(3)
+    words = [[f"p{i}w{k}" for k in range(20)] for i in range(24)]
+    pairs = [(int(a), int(b)) for a, b in rng.permutation(24).reshape(12, 2)]
+    rows = []
+    for a, b in pairs:
+        line = " ".join(f"s{a}x{k}" for k in range(7))
+        rows += [(i, f"http://h/{i}", f"<div>too short {a}</div><div>{' '.join(words[i])}</div><div>{line}</div>") for i in (a, b)]
+    rows.append((99, "http://other/99", f"<div>{' '.join(words[0])}</div>"))
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = html_pages.extract_text(df, "page_id", "url", "html", group_pages=group_pages).collect()
+    want = {i: f"too short {a} {' '.join(words[i])}" for a, b in pairs for i in (a, b)} | {99: " ".join(words[0])}
+    assert {r["page_id"]: r["text"] for r in got} == want and len(got) == len(want)
+
+
 def test_repeated_tokens_equal_all_windows():
     rng = np.random.default_rng(2)
     for run in (2, 3, 5):

@@ -108,6 +108,39 @@ def test_leaks_tolerate_substitutions(spark, texts):
     assert decontamination.find_leaks(texts([]), "doc_id", "text", tests, "item_id", "text").count() == 0
 
 
+def test_leaks_of_short_items_equal_all_alignments(spark, texts):
+    def best(item, doc):
+        found = 0
+        for shift in range(1 - len(item), len(doc)):
+            now = 0
+            for i, w in enumerate(item):
+                if 0 <= i + shift < len(doc):
+                    now = max(0, now + (1 if w == doc[i + shift] else -2))
+                    found = max(found, now)
+        return found
+
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in (1, 2, 8, 9, 10, 13, 15, 18)} | {50: list("今天天气很好"), 51: list("为什么海水是蓝色的而不是绿色的呢")}
+    shown = {i: ("" if i >= 50 else " ").join(item) for i, item in items.items()}
+    rows, plain = [], []
+    for i, item in items.items():
+        n, blank = len(item), "" if i >= 50 else " "
+        drops = [(), (n // 2,), (n // 3, 2 * n // 3), (0,), (n - 1,)] + [(k,) for k in range(1, n)]
+        for drop in drops:
+            words = ["我", "说"] * (i >= 50) + ["不" if i >= 50 and k in drop else "new" if k in drop else w for k, w in enumerate(item)]
+            rows.append((len(rows), f"before {blank.join(words)} after"))
+            plain.append(["before", *words, "after"])
+    want = set()
+    for d, doc in enumerate(plain):
+        for i, item in items.items():
+            points = best(item, doc)
+            if points == len(item) if len(item) < 9 else points >= 10 or 100 * points >= 60 * len(item):
+                want.add((d, i, points))
+    tests = spark.createDataFrame(list(shown.items()), "item_id int, text string")
+    got = decontamination.find_leaks(texts(rows), "doc_id", "text", tests, "item_id", "text").collect()
+    assert {(r["doc_id"], r["item_id"], r["points"]) for r in got} == want and len(got) == len(want)
+    assert {i for _, i, _ in want} == set(items)
+
+
 def test_leaks_are_the_planted_ones(spark):
     got = {r["doc_id"] for r in QUERIES["op8_decontamination"](spark, "/root/testdata/sf0.01").collect()}
     words = lambda t: re.findall(r"\w+", (t or "").lower())

@@ -227,6 +227,18 @@ def test_open_blocks_that_two_pages_share_go_whatever_the_size_of_groups(spark,
     assert {r["page_id"]: r["text"] for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("group_pages", [2, 500])
+def test_open_pages_that_share_an_id_or_have_none_keep_their_own_text(spark, group_pages):
+    line = "<div>all pages of this host say so here</div>"
+    texts = [f"only text {i} says {i * 7} things" for i in range(6)]
+    rows = [(i, f"http://h/{k}", f"{line}<div>{t}</div>") for i in (None, 5) for k, t in enumerate(texts) if (i is None) == (k < 3)]
+    rows += rows[:1] * 4 + rows[-1:]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = html_pages.extract_text(df, "page_id", "url", "html", group_pages=group_pages).collect()
+    want = Counter((i, u, texts[int(u[-1])]) for i, u, _ in rows)
+    assert Counter(tuple(r) for r in got) == want
+
+
 def test_repeated_tokens_equal_all_windows():
     rng = np.random.default_rng(2)
     for run in (2, 3, 5):

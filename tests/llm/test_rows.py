@@ -201,6 +201,14 @@ def test_pages(spark):
     assert html_pages.extract_text(df.limit(0), "page_id", "url", "html").count() == 0
 
 
+def test_names_inside_an_article_and_raw_elements_that_close_themselves():
+    page = """<div class="related-posts">no</div><article><svg viewBox="0 0 1 1"/><h2 id="related-work">Work</h2>
+    <section id="search-algorithms"><p class="notice-period">Notice</p></section><p aria-label="search">Label</p>
+    <div class="box related">no</div><ul role="navigation"><li>no</ul><iframe src="x" />
+    <div class="ad">no</div><svg><text>no</text></svg><script>no</script><p hidden>no</p><p>End</article>"""
+    assert html_pages.page_blocks(page) == (["Work", "Notice", "Label", "End"], [])
+
+
 def test_open_blocks_that_pages_share_go(spark):
     rows = [
         (i, f"http://Host.org/{i}", f"<div>all pages of this host say so here</div><div>only page {i} says {i * 7} things</div>")

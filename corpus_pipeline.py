@@ -40,14 +40,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates, the document of the smallest id; a null id is in no group."""
-    found = ngram_join.near_duplicates(docs, "doc_id", "text")
-    dropped = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    ids = docs.agg(F.count("doc_id").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
-    if ids["rows"] > ids["ids"]:
-        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
-    return kept.select(*docs.columns)
+    """Of every group of near duplicates, the row of the smallest id; among rows of that id, or without any, one of them.
+
+    Rows are told apart by a stored key if ids repeat or are missing, so a different text under a
+    repeated id stays. Texts without words are copies only under the same id, or without one.
+    """
+    ids = docs.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    if ids["rows"] == ids["ids"]:
+        found = ngram_join.near_duplicates(docs, "doc_id", "text")
+        dropped = found.filter("component_id <> doc_id").select("doc_id")
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    keyed = materialize(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    found = ngram_join.near_duplicates(keyed, "__key", "text").withColumnRenamed("doc_id", "__key")
+    rows = keyed.select("__key", "doc_id", F.xxhash64("text").alias("digest")).join(found, "__key")
+    bare = F.col("n_shingles") == 0
+    first = rows.groupBy(
+        F.when(~bare, F.col("component_id")).alias("component"),
+        F.when(bare, F.struct("doc_id", "digest")).alias("copies"),
+    ).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first"))
+    return keyed.join(first.select("first.__key"), "__key", "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -219,6 +219,16 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.encode_tokens(spark, docs, SF_DIR).count() == docs.count()
 
 
+def test_pipeline_keeps_other_texts_of_an_id_and_one_of_copies_without(spark):
+    sea, sky = "the sea is blue and calm today", "a sky of stars hangs over the old town"
+    fog, sun = "fog lies on the hills until the noon bell", "sun and rain fall on the same dry field"
+    rows = [(1, sea), (1, sky), (1, sky), (None, fog), (None, fog), (2, fog), (None, sun), (None, sun), (3, ""), (3, ""), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = corpus_pipeline.keep_one_of_each_group(spark, docs, SF_DIR).collect()
+    want = [(1, sea), (1, sky), (2, fog), (None, sun), (3, ""), (4, "")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_pipeline_of_odd_rows(spark):
     rows = [(i, t, "en", "s", 1) for i, t in ODD]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,25 @@ def map_texts(
     return df.select(*kept, *[c for c in ["text"] if c not in kept]).mapInArrow(run, schema)
 
 
+#: Text bytes that a step in Python takes at once.
+MOST_BYTES = 1 << 23
+
+
+def bounded_slices(
+    batch: pa.RecordBatch, text: str, most_rows: int = 1024, most_bytes: int = MOST_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of few rows and bytes of text; a longer text is a piece of its own."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    begin = held = 0
+    for i, length in enumerate(lengths):
+        if i > begin and (held + length > most_bytes or i - begin == most_rows):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += length
+    if begin < len(lengths):
+        yield batch.slice(begin)
+
+
 _ARROW = {
     "string": pa.string(),
     "double": pa.float64(),

@@ -11,12 +11,15 @@ from bazaarlens.llm import (
     chat,
     decontamination,
     html_pages,
+    infill,
     language,
     ngram_join,
     quality,
+    relative_parse,
     secrets,
     sharding,
     spotsigs,
+    whitening,
 )
 from bazaarlens.llm.common import fold, in_fold, read_table
 
@@ -99,6 +102,27 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding along the eight leading components."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a fill-in-the-middle example, as digests."""
+    made = infill.fill_in_middle(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    text = infill.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"),
+    )
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that earlier ones have, as digests."""
+    kept = relative_parse.drop_repeats(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language": op2_language,
@@ -110,4 +134,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_html": op9_html,
     "op10_chat": op10_chat,
+    "op11_whitening": op11_whitening,
+    "op12_infill": op12_infill,
+    "op13_repeats": op13_repeats,
 }

@@ -182,4 +182,36 @@ FROM docs LEFT JOIN (
 ) USING (doc_id)
 """
 
-STATEMENTS: dict[str, str] = {"op1_sharding": OP1, "op3_spotsigs": OP3, "op4_secrets": OP4}
+#: The text in lines, cut twice; DuckDB counts and cuts strings by code points.
+OP12 = """
+WITH lined AS (
+    SELECT doc_id, coalesce(text, '') AS body,
+        regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS units,
+        sha256(concat('7:', doc_id::VARCHAR)) AS digest
+    FROM documents
+),
+drawn AS (
+    SELECT *, len(units) AS n,
+        ('0x' || substr(digest, 1, 8))::BIGINT % (len(units) + 1) AS cut_a,
+        ('0x' || substr(digest, 9, 8))::BIGINT % (len(units) + 1) AS cut_b,
+        CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') THEN 'plain'
+             WHEN ('0x' || substr(digest, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM lined
+),
+parts AS (
+    SELECT doc_id, body, n, form,
+        array_to_string(units[1:least(cut_a, cut_b)], '') AS prefix,
+        array_to_string(units[least(cut_a, cut_b) + 1:greatest(cut_a, cut_b)], '') AS middle,
+        array_to_string(units[greatest(cut_a, cut_b) + 1:], '') AS suffix
+    FROM drawn
+)
+SELECT doc_id, n, form,
+    CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle)
+        ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256,
+    sha256(CASE form WHEN 'plain' THEN body ELSE concat(prefix, middle, suffix) END) AS restored_sha256
+FROM parts
+"""
+
+STATEMENTS: dict[str, str] = {"op1_sharding": OP1, "op3_spotsigs": OP3, "op4_secrets": OP4, "op12_infill": OP12}

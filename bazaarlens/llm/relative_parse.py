@@ -17,7 +17,8 @@ with a smaller id. Documents are parsed relative to blocks of earlier documents:
 
 A text that another document has word for word takes no part; it is covered by the smallest id that
 has it. No step gathers what a key or a document has without bound: blocks have a fixed number of
-words, windows and anchors are aggregated inside tasks first. Nothing is capped. Hashes only choose
+words, windows and anchors are aggregated inside tasks first. Only texts that a sieve of fixed size
+lets pass are shuffled. Nothing is capped. Hashes only choose
 candidates; words are compared as words, and boundary windows and whole texts by MD5.
 """
 
@@ -33,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.llm.common import bounded_slices
+from bazaarlens.llm.sieve import Sieve
 from bazaarlens.workspace import materialize
 
 WINDOW = 50
-#: Words of an anchor.
-GRAM = 8
+#: Words of an anchor, or a third of a short window.
+GRAM = 16
 #: Words of a block, without its margins.
 BLOCK = 256
 
@@ -209,38 +211,32 @@ def parse_block(
 
 
 def _parse(window: int):
-    """Spans and digests of boundary windows of every pair of blocks."""
+    """Spans of every pair of blocks, and its different boundary windows with the places of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bounded_slices(batch, "words"):
-                rows, spans, left = [], [], []
+                spans, left = [], []
                 for r in part.to_pylist():
                     own, start, to = r["words"].split(" "), r["start"], r["to_start"]
                     hits = [(h["place"] - start, h["to_place"] - to, h["first"] - start, h["windows"]) for h in r["hits"]]
                     found, unsure = parse_block(own, r["to_words"].split(" "), hits, window)
-                    rows.append(r["row"])
-                    spans.append([(start + x, start + y) for x, y in found] if r["earlier"] else [])
-                    left.append(
-                        [
-                            (hashlib.md5(" ".join(own[s : s + window]).encode("utf-8", "surrogatepass")).digest(), start + s)
-                            for s in unsure
-                        ]
-                    )
+                    spans.append([{"begin": start + x, "end": start + y} for x, y in found] if r["earlier"] else [])
+                    places: dict[bytes, list[int]] = {}
+                    for s in unsure:
+                        words = " ".join(own[s : s + window]).encode("utf-8", "surrogatepass")
+                        places.setdefault(hashlib.md5(words).digest(), []).append(start + s)
+                    left.append([{"digest": d, "places": p} for d, p in places.items()])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rows, pa.int64()),
-                        pa.array([[{"begin": x, "end": y} for x, y in own] for own in spans], _SPANS),
-                        pa.array([[{"digest": x, "place": y} for x, y in own] for own in left], _LEFT),
-                    ],
-                    names=["row", "spans", "left"],
+                    [part.column("row"), part.column("doc_id"), pa.array(spans, _SPANS), pa.array(left, _LEFT)],
+                    names=["row", "doc_id", "spans", "left"],
                 )
 
     return run
 
 
 _SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-_LEFT = pa.list_(pa.struct([("digest", pa.binary()), ("place", pa.int32())]))
+_LEFT = pa.list_(pa.struct([("digest", pa.binary()), ("places", pa.list_(pa.int32()))]))
 
 
 def _with_digest(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -261,6 +257,7 @@ def repeated_spans(
     texts have none. Rows of one id do not repeat each other. Other columns are left out.
     """
     id_type = df.schema[id_col].dataType.simpleString()
+    gram = min(gram, max(1, window // 3))
     rows = _with_digest(df, id_col, text_col).filter(F.col("doc_id").isNotNull())
     schema = f"doc_id {id_type}, digest binary, n_words bigint, anchors array<{_ANCHOR}>"
     facts = rows.mapInArrow(_facts(window, gram), schema).filter(F.col("n_words") >= window)
@@ -295,7 +292,7 @@ def repeated_spans(
         places.join(references, "hash")
         .filter("row <> to_row OR place <> to_place")
         .groupBy(
-            "row", in_block("place").alias("block"), "to_row", in_block("to_place").alias("to_block"),
+            "row", "doc_id", in_block("place").alias("block"), "to_row", in_block("to_place").alias("to_block"),
             (F.col("doc_id") > F.col("to_id")).alias("earlier"),
         )
         .agg(F.collect_list(F.struct("place", "to_place", "first", "windows")).alias("hits")),
@@ -304,8 +301,10 @@ def repeated_spans(
 
     met = visits.select("row", "block").union(visits.select("to_row", "to_block"))
     wanted = met.distinct().groupBy("row").agg(F.collect_list("block").alias("blocks"))
-    wanted = classes.select("row", "digest", F.col("first_id").alias("doc_id")).join(wanted, "row")
-    texts = rows.join(wanted, ["doc_id", "digest"]).select("row", "text", "blocks")
+    wanted = materialize(
+        classes.select("row", "digest", F.col("first_id").alias("doc_id")).join(wanted, "row"), "wanted"
+    )
+    texts = rows.filter(Sieve(wanted, "digest").passes("digest")).join(wanted, ["doc_id", "digest"]).select("row", "text", "blocks")
     if classes.filter("copies > 1").limit(1).count():
         texts = texts.dropDuplicates(["row"])
     blocks = materialize(
@@ -313,22 +312,24 @@ def repeated_spans(
     )
     pairs = visits.join(blocks, ["row", "block"]).join(blocks.toDF("to_row", "to_block", "to_start", "to_words"), ["to_row", "to_block"])
     parsed = materialize(
-        pairs.select("row", "start", "words", "to_start", "to_words", "hits", "earlier").mapInArrow(
+        pairs.select("row", "doc_id", "start", "words", "to_start", "to_words", "hits", "earlier").mapInArrow(
             _parse(window),
-            "row bigint, spans array<struct<begin:int,end:int>>, left array<struct<digest:binary,place:int>>",
+            f"row bigint, doc_id {id_type}, spans array<struct<begin:int,end:int>>, "
+            "left array<struct<digest:binary,places:array<int>>>",
         ),
         "parsed",
     )
 
-    owners = classes.select("row", F.col("first_id").alias("doc_id"))
-    left = parsed.select("row", F.inline("left")).join(owners, "row")
+    left = parsed.select("row", "doc_id", F.inline("left"))
     first_of = (
         left.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
         .filter("first_id < last_id").drop("last_id")
     )
-    at_boundaries = left.join(first_of, "digest").filter("doc_id > first_id").select(
-        "row", F.col("place").alias("begin"), (F.col("place") + window).alias("end")
-    )
+    at_boundaries = (
+        left.join(first_of, "digest").filter("doc_id > first_id")
+        .select("row", F.explode("places").alias("begin"))
+        .withColumn("end", F.col("begin") + window)
+    )
     spans = parsed.select("row", F.inline("spans")).unionByName(at_boundaries).distinct()
     own = spans.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     own = classes.join(own.mapInArrow(_merge, "row bigint, spans array<struct<begin:int,end:int>>"), "row").select(F.col("first_id").alias("doc_id"), "digest", "spans")
@@ -388,8 +389,7 @@ def drop_repeats(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW
     id_type = df.schema[id_col].dataType.simpleString()
     rows = _with_digest(df, id_col, text_col)
     spans = materialize(repeated_spans(df, id_col, text_col, window), "spans")
-    return (
-        rows.join(spans, ["doc_id", "digest"], "left")
-        .select("doc_id", "text", "spans")
-        .mapInArrow(_cut, f"doc_id {id_type}, n_words bigint, n_removed bigint, kept string")
-    )
+    rows = rows.withColumn("may_be", Sieve(spans, "digest").passes("digest"))
+    hit = rows.filter("may_be").join(spans, ["doc_id", "digest"], "left").select("doc_id", "text", "spans")
+    other = rows.filter("NOT may_be").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return hit.unionByName(other).mapInArrow(_cut, f"doc_id {id_type}, n_words bigint, n_removed bigint, kept string")

@@ -7,16 +7,17 @@ result. At every join they are put together, over as many chunks as it takes unt
 white space, and that word is encoded anew. The pre-tokenizer drops white space and never looks
 across it, so from there on the two sides agree exactly with an encoding of the whole text.
 
-Chunks and words are kept per worker, in bounded tables. To share them between workers would move
+Chunks and words are kept per worker, in tables bounded by their bytes; those used last stay. To share them between workers would move
 every chunk through a shuffle, which costs more than it saves.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+import os
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -44,8 +45,7 @@ def cut_points(raw: bytes, mean_bytes: int) -> list[int]:
     return [int(i) + 1 for i in np.flatnonzero(rolled < below) if _WINDOW <= i + 1 < len(raw)]
 
 
-@dataclass(slots=True)
-class Encoded:
+class Encoded(NamedTuple):
     """Number of ids, the ids and the tokens, each joined by one space."""
 
     count: int
@@ -53,10 +53,13 @@ class Encoded:
     tokens: str
 
 
-def joined(parts: Iterable[Encoded]) -> Encoded:
-    """Neighbours as one."""
-    full = [p for p in parts if p.count]
-    return Encoded(sum(p.count for p in full), " ".join([p.ids for p in full]), " ".join([p.tokens for p in full]))
+def joined(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+    """The fields of ``Encoded`` for neighbours as one."""
+    full = [p for p in parts if p[0]]
+    if not full:
+        return 0, "", ""
+    counts, ids, tokens = zip(*full, strict=True)
+    return sum(counts), " ".join(ids), " ".join(tokens)
 
 
 @dataclass(slots=True)
@@ -67,25 +70,41 @@ class _Chunk:
     words: list[bytes]
     tail: bytes
     solid: bool
-    inside: Encoded | None = None
+    inside: tuple[int, str, str] | None = None
+
+
+#: Bytes of an entry besides its texts: keys, tuples, lists, string headers.
+_ENTRY = 400
 
 
 class ChunkEncoder:
     """Encodes lists of texts as the tokenizer would encode each text whole."""
 
-    def __init__(self, definition: str, mean_bytes: int = 512, most_words: int = 400_000, most_bytes: int = 1 << 24):
-        """``most_words`` and ``most_bytes`` bound the tables of words and of chunks, which are emptied when full."""
+    def __init__(self, definition: str, mean_bytes: int = 512, most_bytes: int = 1 << 25):
+        """``most_bytes`` bounds what the tables of words and of chunks hold, each; and as much that was used before."""
+        # Spark runs one worker per core already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer = Tokenizer.from_str(definition)
         if self._tokenizer.decoder is not None:
             raise ValueError("words can be decoded one by one only if the definition has no decoder")
-        self._mean, self._most_words, self._most_bytes = mean_bytes, most_words, most_bytes
-        self._words: dict[bytes, Encoded] = {}
+        # Without a decoder in the definition, decoding joins the tokens by one space.
+        size = self._tokenizer.get_vocab_size(with_added_tokens=True)
+        self._tokens = [self._tokenizer.id_to_token(i) for i in range(size)]
+        self._numbers = [str(i) for i in range(size)]
+        self._mean, self._most = mean_bytes, most_bytes
+        # What was used last, and before that: a table that is full becomes the older one.
+        self._words: dict[bytes, tuple[int, str, str]] = {}
+        self._older_words: dict[bytes, tuple[int, str, str]] = {}
         self._chunks: dict[bytes, _Chunk] = {}
-        self._held = 0
+        self._older_chunks: dict[bytes, _Chunk] = {}
+        self._word_bytes = self._chunk_bytes = 0
         self.encoded_bytes = 0
 
     def _chunk(self, raw: bytes) -> _Chunk:
         found = self._chunks.get(raw)
+        if found is not None:
+            return found
+        found = self._older_chunks.get(raw)
         if found is None:
             words = raw.split()
             if len(words) < 2 and raw.strip(_BLANKS) == raw:
@@ -94,8 +113,9 @@ class ChunkEncoder:
                 head = words.pop(0) if raw[:1] not in _BLANK_SET and words else b""
                 tail = words.pop() if raw[-1:] not in _BLANK_SET and words else b""
                 found = _Chunk(head, words, tail, False)
-            self._chunks[raw] = found
-            self._held += len(raw)
+        self._chunks[raw] = found
+        # Its words, later ids and tokens, take a few times its bytes.
+        self._chunk_bytes += 6 * len(raw) + _ENTRY
         return found
 
     def _layout(self, raw: bytes) -> list[bytes | _Chunk]:
@@ -117,22 +137,26 @@ class ChunkEncoder:
         return parts
 
     def _learn(self, words: set[bytes]) -> None:
-        missing = [w for w in words if w not in self._words]
+        """Have all given words in the younger table."""
+        new = words - self._words.keys()
+        again = new & self._older_words.keys()
+        missing = list(new - again)
         texts = [w.decode("utf-8", "surrogatepass") for w in missing]
         ids = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        # Without a decoder in the definition, decoding joins the tokens by one space.
-        decoded = self._tokenizer.decode_batch(ids, skip_special_tokens=False)
-        for word, own, tokens in zip(missing, ids, decoded, strict=True):
-            self._words[word] = Encoded(len(own), " ".join(map(str, own)), tokens)
-            self.encoded_bytes += len(word)
+        number, token = self._numbers.__getitem__, self._tokens.__getitem__
+        made = zip(map(len, ids), [" ".join(map(number, i)) for i in ids], [" ".join(map(token, i)) for i in ids], strict=True)
+        self._words.update(zip(missing, made, strict=True))
+        self._words.update({w: self._older_words[w] for w in again})
+        self.encoded_bytes += sum(map(len, missing))
+        self._word_bytes += 4 * sum(map(len, new)) + _ENTRY * len(new)
 
     def encode(self, texts: list[str]) -> list[Encoded]:
         """The encoding of every text; an empty text has no ids."""
-        if len(self._words) > self._most_words:
-            self._words.clear()
-        if self._held > self._most_bytes:
-            self._chunks.clear()
-            self._held = 0
+        # Between lists of texts only, so that what a list needs stays while it is at work.
+        if self._word_bytes > self._most:
+            self._older_words, self._words, self._word_bytes = self._words, {}, 0
+        if self._chunk_bytes > self._most:
+            self._older_chunks, self._chunks, self._chunk_bytes = self._chunks, {}, 0
         layouts = [self._layout(t.encode("utf-8", "surrogatepass")) if t else [] for t in texts]
         needed: set[bytes] = set()
         for part in (p for layout in layouts for p in layout):
@@ -153,7 +177,7 @@ class ChunkEncoder:
                         part.inside = joined([known[w] for w in part.words])
                         part.words = []
                     found.append(part.inside)
-            results.append(joined(found))
+            results.append(Encoded(*joined(found)))
         return results
 
 
@@ -170,8 +194,8 @@ def encode_texts(
 ) -> DataFrame:
     """``doc_id``, the columns ``kept``, ``n_tokens, ids_sha256, decoded_sha256`` of every row.
 
-    The digests are of the ids joined by one space and of the decoded text; with ``whole`` both texts
-    are returned, too (``ids``, ``decoded``). A null or empty text has no ids. The tokenizer file must
+    The digests are of the ids joined by one space and of the decoded text; with ``whole`` the ids are
+    returned, too (``ids``). A null or empty text has no ids. The tokenizer file must
     be a JSON definition whose pre-tokenizer drops white space; it is read on the driver and sent along.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
@@ -185,9 +209,9 @@ def encode_texts(
             "ids_sha256": [digest(e.ids) for e in found],
             "decoded_sha256": [digest(e.tokens) for e in found],
         }
-        return out | ({"ids": [e.ids for e in found], "decoded": [e.tokens for e in found]} if whole else {})
+        return out | ({"ids": [e.ids for e in found]} if whole else {})
 
     added = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
-    added |= {"ids": "string", "decoded": "string"} if whole else {}
+    added |= {"ids": "string"} if whole else {}
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept)
     return map_texts(rows, ["doc_id", *kept], encode, added, rows_at_once=512)

@@ -47,8 +47,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, rows_at_once):
-                part = batch.slice(begin, rows_at_once)
+            for part in bounded_slices(batch, "text", rows_at_once):
                 result = compute([t or "" for t in part.column("text").to_pylist()])
                 columns = [part.column(c) for c in kept] + [_array(result[c], t) for c, t in added.items()]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *added])

@@ -52,8 +52,8 @@ def with_signatures(df: DataFrame, text_col: str, name: str, anchors: list[str]
     chosen = F.when(F.size(chains) > 0, F.col(chains)).otherwise(whole)
     return (
         df.withColumn(tagged, F.array_join(mark, ""))
-        # Anchors at the end have no content word.
-        .withColumn(spots, F.split(F.regexp_replace(tagged, f" ?(?:[^ {_MARK}]+{_MARK})*$", ""), " "))
+        # Anchors at the end, behind the last blank, have no content word.
+        .withColumn(spots, F.split(F.left(tagged, _before_last_blank(F.col(tagged))), " "))
         .withColumn(content, F.transform(spots, lambda s: F.substring_index(s, _MARK, -1)))
         .withColumn(chains, F.filter(found, lambda c: c.isNotNull() & c.contains(_MARK)))
         .withColumn(name, F.array_sort(F.array_distinct(F.transform(chosen, lambda c: F.substring(F.md5(c), 1, _DIGITS)))))
@@ -61,6 +61,11 @@ def with_signatures(df: DataFrame, text_col: str, name: str, anchors: list[str]
     )
 
 
+def _before_last_blank(text: Column) -> Column:
+    """How many code points come before the last blank; none without one."""
+    return F.greatest(F.length(text) - F.length(F.substring_index(text, " ", -1)) - 1, F.lit(0))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sets; two empty sets are alike, one empty set is like nothing."""
     common = F.size(F.array_intersect(a, b))
@@ -117,35 +122,35 @@ def edited_by_next(df: DataFrame, id_col: str, text_col: str, parts: int = 3) ->
     A null text is empty, null ids come last. Rows of one id follow by a digest of their text, and
     rows that are equal in both share their place and their next. A single document is its own next.
 
-    Only ids, digests and lengths are sorted. Texts are shuffled once, by id; the part of a text that
-    its neighbour needs goes there along with its signatures.
+    Only ids, digests and lengths are sorted. Both sides of the last join read the same shuffle of the
+    texts; the part of a text that its neighbour needs goes there along with its signatures in one string.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(
-        F.col(id_col).alias("doc_id"), text.alias("text"), key.alias("key"),
-        F.xxhash64(F.col(id_col).isNull(), text).alias("digest"),
-    )
-    lengths = materialize(rows.select("doc_id", "key", "digest", F.length("text").alias("n")), "order")
+    # A struct with a missing id equals another one.
+    rows = df.select(F.struct(F.col(id_col).alias("id")).alias("who"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    lengths = materialize(rows.select("who", "digest", F.length("text").alias("n")), "order")
     distinct = lengths.distinct()
-    placed = dense_index(distinct, [F.desc_nulls_last("doc_id"), F.asc("digest")], "place").drop("doc_id")
+    placed = dense_index(distinct, [F.desc_nulls_last("who.id"), F.asc("digest")], "place")
     rows_in_all, last = lengths.count(), placed.count()
     previous = placed.select(
         F.when(F.col("place") == last, 1).otherwise(F.col("place") + 1).alias("place"),
-        F.col("key").alias("to_key"),
+        F.col("who").alias("to_who"),
         F.col("digest").alias("to_digest"),
         F.floor(F.col("n") / parts).cast("int").alias("wanted"),
     )
     chain = materialize(placed.drop("n").join(previous, "place").drop("place"), "chain")
 
-    linked = with_signatures(rows.join(chain, ["key", "digest"]), "text", "found")
-    heads = linked.select(
-        F.col("to_key").alias("key"), F.col("to_digest").alias("digest"),
-        F.left(F.col("text"), F.col("wanted")).alias("head"), F.col("found").alias("next_found"),
-    )
+    spread = rows.repartition("who", "digest")
+    heads = with_signatures(spread.join(chain, ["who", "digest"]), "text", "found").select(
+        F.col("to_who").alias("who"),
+        F.col("to_digest").alias("digest"),
+        F.left(F.col("text"), F.col("wanted")).alias("head"),
+        as_text(F.col("found")).alias("next_found"),
+    )
     if rows_in_all > last:
-        heads = heads.dropDuplicates(["key", "digest"])
+        heads = heads.dropDuplicates(["who", "digest"])
     kept = F.length("text") - F.floor(F.length("text") / parts).cast("int")
-    return linked.join(heads, ["key", "digest"]).select(
-        "doc_id", "text", "found", F.concat(F.left(F.col("text"), kept), F.col("head")).alias("edited"), "next_found"
-    )
+    return with_signatures(spread.join(heads, ["who", "digest"]), "text", "found").select(
+        F.col("who.id").alias("doc_id"), "text", "found", F.concat(F.left(F.col("text"), kept), F.col("head")).alias("edited"),
+        F.regexp_extract_all("next_found", F.lit(f".{{{_DIGITS}}}"), F.lit(0)).alias("next_found"),
+    )

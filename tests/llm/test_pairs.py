@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from bazaarlens.llm import decontamination, ngram_join, spotsigs
+from bazaarlens.llm import decontamination, ngram_join, quality, secrets, spotsigs
+from bazaarlens.llm.common import fold
 from bazaarlens.llm.components import connected_components
 from bazaarlens.llm.queries import QUERIES
 from bazaarlens.llm.statements import STATEMENTS
@@ -88,6 +92,13 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
 
 
+def test_components_of_large_ids(spark):
+    base = (1 << 62) + 5
+    links = spark.createDataFrame([(base + i, base + i + 1) for i in range(50)] + [(-base, -base + 1)], "a bigint, b bigint")
+    got = {r["node"]: r["component"] for r in connected_components(links).collect()}
+    assert got == {base + i: base for i in range(51)} | {-base: -base, -base + 1: -base}
+
+
 def test_leaks_tolerate_substitutions(spark, texts):
     rng = np.random.default_rng(1)
     word = lambda: "w" + str(rng.integers(0, 3000))
@@ -159,6 +170,29 @@ def test_signatures_follow_common_words(spark):
     assert rows[0] == sorted(rows[0])
 
 
+def test_signatures_of_long_runs_of_common_words(spark):
+    run = "the of " * 100000
+    df = spark.createDataFrame([(run,), (run + "sea blue",), ("sea blue ship " + run,), (f"sea {run} blue {run} ship",)], "text string")
+    rows = [r["found"] for r in spotsigs.with_signatures(df, "text", "found").collect()]
+    # One signature of all words, one chain, no chain and so all words, one chain.
+    assert [len(r) for r in rows] == [1, 1, 1, 1]
+    short = spark.createDataFrame([("sea the blue the ship",), ("sea the blue the ship the of",)], "text string")
+    one, other = (r["found"] for r in spotsigs.with_signatures(short, "text", "found").collect())
+    assert one == other
+
+
+def test_edits_of_repeated_and_missing_ids(spark, texts):
+    rows = [(None, "sea"), (None, "sky blue"), (3, "one two three"), (3, "one two three"), (3, "other words here"), (1, "last text")]
+    got = sorted((r["doc_id"] or 0, r["text"], r["edited"]) for r in spotsigs.edited_by_next(texts(rows), "doc_id", "text").collect())
+    assert len(got) == len(rows)
+    order = {}
+    for i, text, edited in got:
+        kept = len(text) - len(text) // 3
+        assert edited.startswith(text[:kept]) and len(edited) <= len(text)
+        order.setdefault((i, text), set()).add(edited)
+    assert all(len(e) == 1 for e in order.values())
+
+
 def test_similar_pairs_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     base = [f"s{i:02}" for i in range(40)]
@@ -229,6 +263,72 @@ def test_pipeline_keeps_other_texts_of_an_id_and_one_of_copies_without(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def plain_leaks(docs, items):
+    """Ids of documents in which some alignment with an item has a stretch of enough points."""
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    hit = set()
+    for i, text in docs:
+        have = words(text)
+        places = {}
+        for at, w in enumerate(have):
+            places.setdefault(w, []).append(at)
+        for item in items:
+            want = words(item)
+            least = min(10, -(-60 * len(want) // 100))
+            for shift, n in Counter(at - k for k, w in enumerate(want) for at in places.get(w, [])).items():
+                run = 0
+                for k, w in enumerate(want):
+                    inside = 0 <= k + shift < len(have)
+                    run = max(0, run + (1 if inside and have[k + shift] == w else -2)) if inside else 0
+                    if n >= least and run >= least:
+                        hit.add(i)
+    return hit
+
+
+def test_pipeline_equals_a_plain_version(spark):
+    """All stages on the smallest tables, row by row in plain Python; only the forest is the same."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    forest = quality.learn(docs, "doc_id", "text", labels, "doc_id", "quality", fold("doc_id", 5) != 0, corpus_pipeline.MOST_LABELLED)
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    kept = [i for i, r in rows.items() if quality.probabilities(forest, [r["text"] or ""])[0] >= corpus_pipeline.LEAST_QUALITY]
+    kept = [i for i, (_, c) in components([(i, rows[i]["text"]) for i in kept]).items() if i == c]
+    items = [r["text"] for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+    leaks = plain_leaks([(i, rows[i]["text"]) for i in kept], items)
+    found = secrets.find_secrets(docs.select("doc_id", "text"), "text").collect()
+    spans = {r["doc_id"]: sorted({(s["start"], s["end"]) for s in r["spans"]}) for r in found}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    want = []
+    for i in sorted(set(kept) - leaks):
+        text, out, at = rows[i]["text"] or "", "", 0
+        for start, end in spans[i]:
+            if start >= at:
+                out += text[at:start] + corpus_pipeline.MASK
+            at = max(at, end)
+        ids = tokenizer.encode(out + text[at:], add_special_tokens=False).ids
+        want.append((i, rows[i]["lang"], rows[i]["source"], len(ids), " ".join(map(str, ids))))
+    got = corpus_pipeline.run(spark, SF_DIR).select("doc_id", "lang", "source", "n_tokens", "ids").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_pipeline_stages_with_clashing_names(spark):
+    rows = [(1, "password = abcdefgh12345 and more words here", "en", "s", 44, [1], "k", 2.0, "r", "f"),
+            (1, "password = abcdefgh12345 and more words here", "en", "s", 44, [1], "k", 2.0, "r", "f"),
+            (2, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(
+        rows,
+        "doc_id bigint, text string, lang string, source string, n_chars bigint, spans array<int>, base_spans string, "
+        "__key double, row string, `found.key` string",
+    )
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF_DIR)
+        assert kept.columns == docs.columns
+        for r in kept.collect():
+            assert (r["spans"], r["base_spans"], r["__key"], r["row"]) in (([1], "k", 2.0, "r"), (None, None, None, None))
+        if name == "secrets":
+            assert sorted(r["text"] or "" for r in kept.collect()) == ["", *["[SECRET] and more words here"] * 2]
+
+
 def test_pipeline_of_odd_rows(spark):
     rows = [(i, t, "en", "s", 1) for i, t in ODD]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")

@@ -7,6 +7,7 @@ others read the star schema, which an application builds once and keeps in the s
 from __future__ import annotations
 
 import sys
+import warnings
 from collections.abc import Callable
 from functools import cache
 from pathlib import Path
@@ -32,7 +33,8 @@ from bazaarlens.plans import (  # noqa: E402
     rfm,
     star,
 )
-from bazaarlens.sources import generated  # noqa: E402
+from bazaarlens.sources import generated, raw_csv, star_store  # noqa: E402
+from bazaarlens.workspace import stage_path  # noqa: E402
 from oracle.checks import CHOSEN_SEGMENTS, STATEMENTS  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,9 +57,10 @@ try:
     from bazaarlens.llm.statements import STATEMENTS as TEXT_STATEMENTS
     from corpus_pipeline import ORACLE_SQL, run as run_pipeline
 except ModuleNotFoundError as missing:
-    # The text operators are a part of their own and may be left out as a whole.
+    # The text operators are a part of their own and may be left out as a whole. Where a package they
+    # need is missing, they are missing, too, and all other queries stay.
     if missing.name not in ("bazaarlens.llm", "bazaarlens.llm.queries", "bazaarlens.llm.statements", "corpus_pipeline"):
-        raise
+        warnings.warn(f"no text queries: {missing}", stacklevel=1)
     TEXT_QUERIES, TEXT_STATEMENTS = {}, {}
 else:
     TEXT_QUERIES = {name: _importable(query) for name, query in {**TEXT_QUERIES, "pipeline": run_pipeline}.items()}
@@ -141,6 +144,58 @@ def _slice(mart: Mart) -> Mart:
     return star.slice_mart(mart, year=1997, state="NATION_3")
 
 
+def _year(mart: Mart) -> Mart:
+    return star.slice_mart(mart, year=1996)
+
+
+def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, nulls and duplicates of the raw tables, written as CSV and read again by their schemas."""
+    tables = raw_csv.read_raw(spark, generated.write_raw_files(spark, sf_dir))
+    known = generated.raw_tables(spark, sf_dir)
+    return quality.table_metrics({name: df.select(*known[name].columns) for name, df in tables.items()})
+
+
+def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = generated.write_raw_files(spark, sf_dir, damaged=True)
+    return raw_csv.reject_counts(spark, folder, names=["orders", "order_items", "products"])
+
+
+def _result_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue by state, stored as a CSV result and read again."""
+    result = _plain(revenue.top_states(generated.open_mart(spark, sf_dir), 1000))
+    target = star_store.write_result(result, stage_path(spark, "results"), "states")
+    return spark.read.options(header=True).schema(result.schema).csv(target)
+
+
+def _sql_over_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    star_store.register_views(generated.open_mart(spark, sf_dir))
+    return spark.sql(
+        """SELECT state, year, count(*) AS orders, CAST(sum(total_payment) AS DOUBLE) AS revenue
+           FROM fact_orders JOIN dim_customer USING (customer_key) JOIN dim_date USING (date_key)
+           GROUP BY state, year"""
+    )
+
+
+def _scaled_display(mart: Mart) -> DataFrame:
+    """Measures per year as the pages show them: millions, thousands, points of five."""
+    return measures.measure_totals(mart, ["year"]).select(
+        "year",
+        display.millions(F.col("total_revenue")).alias("revenue"),
+        display.thousands(F.col("avg_order_value")).alias("order_value"),
+        display.out_of_five(F.col("avg_review_score")).alias("review_score"),
+    )
+
+
+def _page(make: Callable[[Mart], dict], series: str) -> Query:
+    """One series of a page of the dashboard."""
+    return _on_mart(lambda mart: make(mart)[series]())
+
+
+def _customer_page(spark: SparkSession, sf_dir: str) -> dict:
+    mart = star.slice_mart(generated.open_mart(spark, sf_dir), year=1996)
+    return dashboard.customer_page(mart, generated.open_segments(spark, sf_dir), CHOSEN_SEGMENTS)
+
+
 @cache
 def _registry() -> dict[str, Query]:
     return {
@@ -219,6 +274,19 @@ def _registry() -> dict[str, Query]:
         "dashboard_slice_monthly_revenue": _on_mart(
             lambda m: revenue.monthly_revenue(star.slice_mart(m, category="unknown"))
         ),
+        **{
+            f"delivery_page_{series}": _page(lambda m: dashboard.delivery_page(_year(m)), series)
+            for series in ("kpis", "delivery_by_state", "monthly_late_rate", "delivery_histogram", "ontime_vs_late")
+        },
+        **{
+            f"customer_page_{series}": (lambda series: lambda s, d: _plain(_customer_page(s, d)[series]()))(series)
+            for series in ("segment_revenue", "review_distribution", "payment_type_split", "top_customers")
+        },
+        "scaled_display": _on_mart(_scaled_display),
+        "sql_over_views": _sql_over_views,
+        "csv_round_trip": _csv_round_trip,
+        "csv_rejects": _csv_rejects,
+        "result_round_trip": _result_round_trip,
         "slicer_values": _on_mart(star.slicer_values),
         "share_of_total": _share_of_total,
         "measure_totals": _on_mart(measures.measure_totals),

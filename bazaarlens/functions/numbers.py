@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
-# Averages of fractions are summed as decimals: a sum of doubles depends on the row order.
-EXACT_FRACTION = T.DecimalType(20, 6)
+# A mean of up to twenty whole scores is a whole number of these parts: the least common multiple of 1 to 20.
+SCORE_PARTS = 232_792_560
 
 
 def round2(value: Column) -> Column:
@@ -30,6 +30,21 @@ def sum_money(amount: Column) -> Column:
     return (cents.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(MONEY)
 
 
+def score_parts(mean: Column) -> Column:
+    """A mean score in whole parts, so that sums are exact in any order; means of more than twenty scores to the nearest part."""
+    return F.round(mean.cast("double") * SCORE_PARTS).cast("decimal(20,0)")
+
+
+def mean_in_order(values: Column) -> Column:
+    """Mean of the few structs of an array, by their last field ``value``, added up in the order of their other fields.
+
+    A sum of doubles depends on the order, which an aggregate does not fix.
+    """
+    present = F.filter(values, lambda v: v["value"].isNotNull())
+    total = F.aggregate(F.sort_array(present), F.lit(0.0), lambda sum_, v: sum_ + v["value"])
+    return ratio(total, F.size(present))
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Division as doubles; null when the denominator is null or zero."""
     return numerator.cast("double") / F.nullif(denominator.cast("double"), F.lit(0.0))

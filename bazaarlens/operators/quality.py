@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import partial, reduce
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.workspace import at_once, materialize
-
 Tables = Mapping[str, DataFrame]
 
 
@@ -53,49 +51,59 @@ def null_counts(tables: Tables) -> DataFrame:
     return null_profile(tables).filter("null_count > 0").select("table_name", "column_name", "null_count")
 
 
-_HASH = "__row_hash"
-
+def _digest(df: DataFrame) -> list[Column]:
+    """128 bits of a row: two hashes with different starts; which columns are null is part of the row."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    nulls = F.concat(*[c.isNull().cast("int").cast("string") for c in columns])
+    return [F.xxhash64(nulls, *columns).alias("__a"), F.xxhash64(F.lit("row"), nulls, *columns).alias("__b")]
 
-def _hashed(df: DataFrame) -> DataFrame:
-    return df.withColumn(_HASH, F.xxhash64(*df.columns))
 
+def table_metrics(tables: Tables) -> DataFrame:
+    """``table_name, column_name, row_count, null_count, duplicate_rows`` for every column, in one pass per table.
 
-def _repeated(tables: Tables) -> dict[str, DataFrame]:
-    """Per table, the row hashes that occur more than once, stored: the planner knows their size.
-
-    Only hashes travel here, and equal ones collapse inside each task first.
+    Rows are told apart by 128-bit digests, and equal ones collapse inside each task first, with
+    their nulls counted along: only digests are shuffled, and no table is read twice. Two different
+    rows of 10^12 share a digest with a chance below 10^-14.
     """
 
-    def step(name: str, df: DataFrame) -> DataFrame:
-        found = _hashed(df).groupBy(_HASH).agg(F.count("*").alias("copies")).filter("copies > 1").select(_HASH)
-        return materialize(found, f"repeated-{name}")
+    def measured(name: str, df: DataFrame) -> DataFrame:
+        places = range(len(df.columns))
+        present = [F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)]
+        rows = df.groupBy(*_digest(df)).agg(F.count("*").alias("copies"), *present)
+        total = rows.agg(
+            F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("doubles"),
+            *[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in places],
+        )
+        lines = [
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.col("rows").alias("row_count"),
+                (F.col("rows") - F.col(f"c{i}")).alias("null_count"),
+                F.col("doubles").alias("duplicate_rows"),
+            )
+            for i, c in enumerate(df.columns)
+        ]
+        return total.select(F.lit(name).alias("table_name"), F.inline(F.array(*lines)))
 
-    return at_once({name: partial(step, name, df) for name, df in tables.items()})
+    return _stacked([measured(name, df) for name, df in tables.items()])
 
 
 def duplicate_rows(tables: Tables) -> DataFrame:
-    """Rows that repeat an earlier full row: ``table_name, duplicate_rows`` per table.
-
-    Whole rows are compared only where their hash occurs twice, so a row without a double stays in
-    its task as long as the planner can broadcast the repeated hashes. Rows that share a hash by
-    chance are told apart by that comparison.
-    """
-    repeated = _repeated(tables)
+    """Rows that repeat an earlier full row: ``table_name, duplicate_rows`` per table. See ``table_metrics``."""
 
     def count(name: str, df: DataFrame) -> DataFrame:
-        candidates = _hashed(df).join(repeated[name], _HASH, "left_semi")
-        return (
-            candidates.groupBy(*df.columns)
-            .agg(F.count("*").alias("copies"))
-            .agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
-            .select(F.lit(name).alias("table_name"), "duplicate_rows")
-        )
+        copies = df.groupBy(*_digest(df)).agg(F.count("*").alias("copies"))
+        doubles = F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows")
+        return copies.agg(doubles).select(F.lit(name).alias("table_name"), "duplicate_rows")
 
     return _stacked([count(name, df) for name, df in tables.items()])
 
 
 def issue_count(tables: Tables) -> DataFrame:
     """One issue per table with nulls plus one per table with duplicate rows."""
-    with_nulls = null_counts(tables).select(F.countDistinct("table_name").alias("issues"))
-    doubled = duplicate_rows(tables).select(F.count_if(F.col("duplicate_rows") > 0).alias("issues"))
-    return with_nulls.unionByName(doubled).agg(F.sum("issues").alias("issues"))
+    per_table = table_metrics(tables).groupBy("table_name").agg(
+        F.max(F.col("null_count") > 0).cast("int").alias("nulls"),
+        F.max(F.col("duplicate_rows") > 0).cast("int").alias("doubles"),
+    )
+    return per_table.agg(F.coalesce(F.sum(F.col("nulls") + F.col("doubles")), F.lit(0)).alias("issues"))

@@ -8,6 +8,8 @@ all earlier partitions is the global position.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,48 +57,122 @@ def tile_starts(rows: int, tiles: int) -> list[int]:
     return [start for start in starts if start <= rows]
 
 
+#: Into how many ranges an interval is cut per round.
+_RANGES = 256
+
+
+@dataclass
+class _Search:
+    """A wanted row of one measure: its rank among the rows whose ``value``, or ``key`` at a known value, is in an interval."""
+
+    measure: str
+    rank: int
+    low: Decimal | None
+    high: Decimal | None
+    at_key: bool = False
+    value: Decimal | None = None
+
+    @property
+    def found(self) -> bool:
+        return self.at_key and self.low == self.high
+
+
+def rows_at(
+    df: DataFrame, measures: Mapping[str, Column], key: str, ranks: Sequence[int]
+) -> dict[str, list[tuple[Decimal | None, int]]]:
+    """``(value, key)`` of the rows at the given ranks of each measure: ascending, nulls last, ties by ``key``.
+
+    Selection by counting: the interval that holds a wanted row is cut into ranges, the rows of each
+    are counted with their least and largest value, and the range that holds the row is cut again.
+    Ranges need not be exact, only in order, as the bounds found are values of rows. Once a value is
+    known, the keys of its rows are searched in the same way, so equal values do not matter.
+
+    A round is one pass in which tasks count and send a row per range; nothing is sorted or written.
+    Measures are whole numbers or decimals, keys are whole numbers and identify a row.
+    """
+    value_type, key_type = T.DecimalType(38, 6), T.DecimalType(20, 0)
+    columns = {name: column.cast(value_type) for name, column in measures.items()}
+    number = F.col(key).cast(key_type)
+    whole = df.agg(
+        F.count("*"), F.min(number), F.max(number),
+        *[f(c) for c in columns.values() for f in (F.count, F.min, F.max)],
+    ).first()
+    rows, first_key, last_key = whole[:3]
+    searches: list[_Search] = []
+    for i, name in enumerate(columns):
+        present, low, high = whole[3 + 3 * i : 6 + 3 * i]
+        for rank in ranks:
+            if not 1 <= rank <= rows:
+                raise ValueError(f"there is no row {rank} among {rows}")
+            if rank <= present:
+                searches.append(_Search(name, rank, low, high))
+            else:
+                searches.append(_Search(name, rank - present, first_key, last_key, at_key=True))
+
+    def settle(search: _Search) -> None:
+        if not search.at_key and search.low == search.high:
+            search.value, search.at_key = search.low, True
+            search.low, search.high = first_key, last_key
+
+    def place(i: int, search: _Search) -> Column:
+        """Search, range and number of a row; no range outside the interval."""
+        column = number if search.at_key else columns[search.measure]
+        kind = key_type if search.at_key else value_type
+        low, high = (F.lit(x).cast(kind) for x in (search.low, search.high))
+        inside = column.between(low, high)
+        if search.at_key:
+            inside &= columns[search.measure].eqNullSafe(F.lit(search.value).cast(value_type))
+        share = (column - low).cast("double") / (high - low).cast("double")
+        part = F.least(F.floor(share * _RANGES), F.lit(_RANGES - 1))
+        return F.struct(
+            F.lit(i).alias("search"), F.when(inside, part).alias("part"), column.cast(value_type).alias("number")
+        )
+
+    for search in searches:
+        settle(search)
+    while open_searches := [s for s in searches if not s.found]:
+        lines = F.array(*[place(i, s) for i, s in enumerate(open_searches)])
+        counted = (
+            df.select(F.inline(lines)).filter("part IS NOT NULL")
+            .groupBy("search", "part").agg(F.count("*").alias("rows"), F.min("number").alias("low"), F.max("number").alias("high"))
+            .collect()
+        )
+        for i, search in enumerate(open_searches):
+            for part in sorted((r for r in counted if r["search"] == i), key=lambda r: r["part"]):
+                if search.rank <= part["rows"]:
+                    search.low, search.high = part["low"], part["high"]
+                    break
+                search.rank -= part["rows"]
+            settle(search)
+    found: dict[str, list[tuple[Decimal | None, int]]] = {name: [] for name in columns}
+    for search in searches:
+        found[search.measure].append((search.value, int(search.low)))
+    return found
+
+
 def with_tiles(df: DataFrame, measures: Mapping[str, Column], key: str, tiles: int = 4) -> DataFrame:
     """Add one tile number 1..k per measure, each ranked ascending, nulls last, ties by ``key``.
 
-    Only the first row of every tile matters, so all measures are ranked together as narrow
-    ``(measure, value, key)`` rows in one sort; at most ``(k - 1) * len(measures)`` boundary rows
-    reach the driver, and the tiles are then plain comparisons on ``df``, with no join back.
-    ``df`` should be a stored table: it is read twice.
+    Only the first row of every tile matters: ``(k - 1) * len(measures)`` rows found by counting, see
+    ``rows_at``. The tiles are then plain comparisons on ``df``, with no join back. ``df`` should be
+    a stored table, as it is read a few times.
     """
     value_type = T.DecimalType(38, 6)
     key_type = df.schema[key].dataType
-    names = list(measures)
-
-    def place(value: Column) -> list[Column]:
-        return [value.isNull().alias("absent"), value.cast(value_type).alias("value"), F.col(key).alias("key")]
-
-    ranked = [F.struct(F.lit(i).alias("measure"), *place(measures[n])) for i, n in enumerate(names)]
-    long = df.select(F.inline(F.array(*ranked)))
-    indexed = dense_index(long, [F.col(c) for c in long.columns], "position")
-    rows = df.count()
-    wanted = {i * rows + start: i for i in range(len(names)) for start in tile_starts(rows, tiles)}
-    cuts: dict[int, list] = {i: [] for i in range(len(names))}
-    if wanted:
-        for row in indexed.filter(F.col("position").isin(*wanted)).collect():
-            cuts[wanted[row["position"]]].append(row)
-
-    def tile(i: int, name: str) -> Column:
-        here = F.struct(*place(measures[name]))
+    starts = tile_starts(df.count(), tiles)
+    cuts = rows_at(df, measures, key, starts) if starts else {name: [] for name in measures}
+
+    def tile(name: str, value: Column) -> Column:
+        def place(value: Column, key: Column) -> Column:
+            return F.struct(value.isNull().alias("absent"), value.alias("value"), key.alias("key"))
+
+        here = place(value.cast(value_type), F.col(key))
         passed = [
-            F.when(
-                here
-                >= F.struct(
-                    F.lit(cut["absent"]).alias("absent"),
-                    F.lit(cut["value"]).cast(value_type).alias("value"),
-                    F.lit(cut["key"]).cast(key_type).alias("key"),
-                ),
-                1,
-            ).otherwise(0)
-            for cut in cuts[i]
+            F.when(here >= place(F.lit(v).cast(value_type), F.lit(k).cast(key_type)), 1).otherwise(0) for v, k in cuts[name]
         ]
         return sum(passed, F.lit(1)).cast("bigint").alias(name)
 
-    return df.select("*", *[tile(i, name) for i, name in enumerate(names)])
+    return df.select("*", *[tile(name, value) for name, value in measures.items()])
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.dates import period_label
-from bazaarlens.functions.numbers import percent, ratio, zero_if_null
+from bazaarlens.functions.numbers import mean_in_order, percent, ratio, zero_if_null
 from bazaarlens.model import Mart
 from bazaarlens.operators.distribution import equal_width_histogram, share_of
 from bazaarlens.operators.ranking import top_k
@@ -25,9 +25,7 @@ def delivery_by_state(mart: Mart) -> DataFrame:
         .dropna()
     )
     # One row per state in this window.
-    exact = F.col("avg_delivery_days").cast("decimal(20,6)")
-    everywhere = Window.partitionBy()
-    mean = ratio(F.sum(exact).over(everywhere), F.count(exact).over(everywhere))
+    mean = mean_in_order(F.collect_list(F.struct("state", F.col("avg_delivery_days").alias("value"))).over(Window.partitionBy()))
     return states.select(
         "state", "avg_delivery_days", (F.col("avg_delivery_days") > mean).alias("above_mean")
     ).orderBy(F.desc("avg_delivery_days"), "state")
@@ -35,11 +33,11 @@ def delivery_by_state(mart: Mart) -> DataFrame:
 
 def delivery_national_avg(mart: Mart) -> DataFrame:
     """Both reference lines: the mean of the state means, and the mean over all orders."""
-    exact = ratio(F.col("days_sum"), F.col("days_n")).cast("decimal(20,6)")
-    of_known_state = F.when(F.col("state").isNotNull(), exact)
+    of_known_state = F.when(F.col("state").isNotNull(), ratio(F.col("days_sum"), F.col("days_n")))
+    means = F.collect_list(F.struct("state", of_known_state.alias("value")))
     return totals(mart, ["state"], keep_null_groups=True).agg(
         ratio(F.sum("days_sum"), F.sum("days_n")).alias("mean_of_orders"),
-        ratio(F.sum(of_known_state), F.count(of_known_state)).alias("mean_of_state_means"),
+        mean_in_order(means).alias("mean_of_state_means"),
     )
 
 
@@ -67,7 +65,7 @@ def monthly_late_rate(mart: Mart) -> DataFrame:
 
 
 def monthly_late_rate_mean(mart: Mart) -> DataFrame:
-    return mean_of(monthly_late_rate(mart), "late_rate_pct", "mean_monthly_late_rate_pct")
+    return mean_of(monthly_late_rate(mart), "late_rate_pct", "mean_monthly_late_rate_pct", "year", "month")
 
 
 def _days_counted(mart: Mart) -> DataFrame:
@@ -115,7 +113,6 @@ def freight_pct_by_category(mart: Mart, k: int = 15) -> DataFrame:
     listed = top_k(means, k, F.desc("avg_freight"), F.asc("category_en")).withColumn(
         "freight_pct", percent(F.col("avg_freight"), F.col("avg_price"))
     )
-    exact = F.col("freight_pct").cast("decimal(20,6)")
-    everywhere = Window.partitionBy()
-    mean = ratio(F.sum(exact).over(everywhere), F.count(exact).over(everywhere))
+    percents = F.collect_list(F.struct("category_en", F.col("freight_pct").alias("value")))
+    mean = mean_in_order(percents.over(Window.partitionBy()))
     return listed.withColumn("mean_freight_pct", mean).orderBy(F.desc("avg_freight"), "category_en")

@@ -96,22 +96,56 @@ def _last_of_period(days: DataFrame, grain: str, value: str) -> DataFrame:
     )
 
 
-def _spread(mart: Mart, by: Sequence[str], until: Column, grain: str, value: str) -> DataFrame:
-    """Per group and calendar day, the revenue of all days that count up to it: each counts ``until`` a day.
+#: The Spark name of a grain's unit, and the step from one period to the next.
+_STEPS = {"day": ("day", "1 day"), "month": ("month", "1 month"), "quarter": ("quarter", "3 months"), "year": ("year", "1 year")}
 
-    A day of a group is handed to the few days it counts on, so no table of all groups by all days
-    is needed. A group has no row where none of its days counts.
+
+def _counted_until(mart: Mart, by: Sequence[str], stop: Column, grain: str, value: str) -> DataFrame:
+    """Per group and period, the revenue of the days that still count on its last day; a day counts until before ``stop``.
+
+    A day adds its revenue when it comes and takes it back at ``stop``: two rows, added up by one
+    running sum per group. Between two such days the sum stands still, so each row stands for an
+    interval of days, and meets just the periods that begin or go on in it. A group has no row where none of
+    its days counts. A group has no more rows than the calendar has days, twice.
     """
+    unit, step = _STEPS[grain]
+    daily = _by_day(mart, by)
+    events = daily.select(
+        *by,
+        F.inline(
+            F.array(
+                F.struct(F.col("full_date").alias("begin"), F.col("revenue").alias("change"), F.lit(1).alias("days")),
+                F.struct(
+                    stop.alias("begin"),
+                    (-F.col("revenue")).cast(daily.schema["revenue"].dataType).alias("change"),
+                    F.lit(-1).alias("days"),
+                ),
+            )
+        ),
+    )
+    changes = events.groupBy(*by, "begin").agg(F.sum("change").alias("change"), F.sum("days").alias("days"))
+    group = Window.partitionBy(*by).orderBy("begin")
+    so_far = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    intervals = changes.select(
+        *by,
+        "begin",
+        F.date_sub(F.lead("begin").over(group), 1).alias("end"),
+        F.sum("change").over(so_far).alias(value),
+        F.sum("days").over(so_far).alias("counting"),
+    ).filter("counting > 0")
+    first = F.trunc("begin", unit) if grain != "day" else F.col("begin")
+    touched = intervals.withColumn("period_start", F.explode(F.sequence(first, F.col("end"), F.expr(f"INTERVAL {step}"))))
     period = GRAINS[grain]
-    daily = _by_day(mart, by).select(*by, "revenue", F.explode(F.sequence("full_date", until)).alias("full_date"))
-    if grain == "day":
-        ends = mart.dim_date.select("full_date")
-        keys = [*by, "full_date"]
-    else:
-        last = mart.dim_date.groupBy(*period).agg(F.max("full_date").alias("full_date"))
-        ends = last.withColumn("last_date", F.col("full_date"))
-        keys = [*by, *period, "last_date"]
-    return daily.join(ends, "full_date").groupBy(*keys).agg(F.sum("revenue").alias(value)).orderBy(*keys)
+    last = F.max("full_date").alias("last_date")
+    ends = mart.dim_date.groupBy(*period).agg(last) if grain != "day" else mart.dim_date.select("full_date", F.col("full_date").alias("last_date"))
+    ends = ends.withColumn("period_start", F.trunc("last_date", unit) if grain != "day" else F.col("last_date"))
+    keys = [*by, *period] + (["last_date"] if grain != "day" else [])
+    return (
+        touched.join(ends, "period_start")
+        .filter(F.col("last_date").between(F.col("begin"), F.col("end")))
+        .select(*keys, value)
+        .orderBy(*keys)
+    )
 
 
 def rolling_30d_calendar(mart: Mart, grain: str = "day", by: Sequence[str] = ()) -> DataFrame:
@@ -121,7 +155,7 @@ def rolling_30d_calendar(mart: Mart, grain: str = "day", by: Sequence[str] = ())
     those days have no row.
     """
     if by:
-        return _spread(mart, by, F.date_add("full_date", 29), grain, "rolling_30d_revenue")
+        return _counted_until(mart, by, F.date_add("full_date", 30), grain, "rolling_30d_revenue")
     window = Window.orderBy(F.unix_date("full_date")).rangeBetween(-29, 0)
     days = _by_day(mart).withColumn("rolling_30d_revenue", F.sum("revenue").over(window))
     return _last_of_period(days, grain, "rolling_30d_revenue")
@@ -133,7 +167,7 @@ def revenue_mtd(mart: Mart, grain: str = "day", by: Sequence[str] = ()) -> DataF
     With attributes, groups without revenue in those days have no row.
     """
     if by:
-        return _spread(mart, by, F.last_day("full_date"), grain, "revenue_mtd")
+        return _counted_until(mart, by, F.date_add(F.last_day("full_date"), 1), grain, "revenue_mtd")
     window = (
         Window.partitionBy("year", "month")
         .orderBy("full_date")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.dates import MONTHS, WEEKDAYS, period_label, position_in
-from bazaarlens.functions.numbers import ratio, round2, zero_if_null
+from bazaarlens.functions.numbers import mean_in_order, ratio, round2, zero_if_null
 from bazaarlens.model import DELIVERED, PRICE_LABELS, Mart
 from bazaarlens.operators.distribution import in_fixed_order, share_of
 from bazaarlens.operators.ranking import top_k
@@ -94,15 +94,15 @@ def monthly_aov(mart: Mart) -> DataFrame:
     )
 
 
-def mean_of(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Unweighted mean of the rows of a report; exact, so the order of the rows cannot show."""
-    exact = F.col(column).cast("decimal(20,6)")
-    return df.agg(ratio(F.sum(exact), F.count(exact)).alias(name))
+def mean_of(df: DataFrame, column: str, name: str, *order: str) -> DataFrame:
+    """Unweighted mean of the few rows of a report, added up in the order of the columns ``order``."""
+    values = F.collect_list(F.struct(*order, F.col(column).alias("value")))
+    return df.agg(mean_in_order(values).alias(name))
 
 
 def monthly_aov_mean(mart: Mart) -> DataFrame:
     """Reference line of :func:`monthly_aov`: every month counts the same."""
-    return mean_of(monthly_aov(mart), "avg_order_value", "mean_monthly_aov")
+    return mean_of(monthly_aov(mart), "avg_order_value", "mean_monthly_aov", "year", "month")
 
 
 def _ranked_revenue(mart: Mart, by: str, k: int) -> DataFrame:

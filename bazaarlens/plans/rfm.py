@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.display import money
-from bazaarlens.functions.numbers import EXACT_FRACTION, ratio, round2, sum_money, zero_if_null
+from bazaarlens.functions.numbers import SCORE_PARTS, ratio, round2, score_parts, sum_money, zero_if_null
 from bazaarlens.model import SEGMENTS, Mart
 from bazaarlens.operators.distribution import counted_shares
 from bazaarlens.operators.ranking import top_k, with_tiles
 from bazaarlens.plans.star import membership
 from bazaarlens.workspace import materialize
 
+# The columns of the result, in order.
 RESULT_COLUMNS = (
     "customer_key", "city", "state", "recency_days", "frequency", "monetary", "avg_order_value",
     "avg_review_score", "last_order_date", "r_score", "f_score", "m_score", "rfm_score",
@@ -30,7 +31,7 @@ def rfm_metrics(mart: Mart) -> DataFrame:
     rows, so the fact is scanned once.
     """
     days = mart.dim_date.select("date_key", "full_date")
-    score = F.col("avg_review_score").cast(EXACT_FRACTION)
+    score = F.col("avg_review_score")
     per_customer = (
         mart.fact.join(days, "date_key")
         .groupBy("customer_key")
@@ -39,7 +40,7 @@ def rfm_metrics(mart: Mart) -> DataFrame:
             F.count("order_id").alias("frequency"),
             sum_money(F.col("total_payment")).alias("monetary"),
             F.count("total_payment").alias("paid"),
-            F.sum(score).alias("score_sum"),
+            F.sum(score_parts(score)).alias("score_sum"),
             F.count(score).alias("scored"),
         )
     )
@@ -54,7 +55,7 @@ def rfm_metrics(mart: Mart) -> DataFrame:
         "frequency",
         "monetary",
         round2(ratio(F.col("monetary"), F.col("paid"))).alias("avg_order_value"),
-        round2(ratio(F.col("score_sum"), F.col("scored"))).alias("avg_review_score"),
+        round2(ratio(F.col("score_sum"), F.col("scored") * SCORE_PARTS)).alias("avg_review_score"),
         "last_order_date",
     )
 
@@ -73,7 +74,7 @@ def rfm_scores(mart: Mart) -> DataFrame:
 
 
 def segment_of(r: Column, f: Column, m: Column) -> Column:
-    """Segment by scores; the first rule that fits decides.
+    """Segment by scores; the first rule that fits decides. Thresholds and their order are fixed values.
 
     ``Cannot Lose Them`` never applies, as every such customer is ``At Risk`` before.
     """

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.numbers import EXACT_FRACTION
+from bazaarlens.functions.numbers import SCORE_PARTS, score_parts
 from bazaarlens.model import Mart
 
 ALL = "All"
@@ -27,9 +27,9 @@ ATTRIBUTES = {
 }
 
 # Additive parts of every measure: the name and how one fact row counts. They are sums, so they can
-# be added up in steps. Averages are quotients of two parts.
+# be added up in steps. Averages are quotients of two parts; scores are counted in whole parts.
 def _parts() -> dict[str, Column]:
-    score = F.col("avg_review_score").cast(EXACT_FRACTION)
+    score = F.col("avg_review_score")
     return {
         "n_rows": F.count("*"),
         "n_orders": F.count("order_id"),
@@ -43,8 +43,8 @@ def _parts() -> dict[str, Column]:
         "days_n": F.count("delivery_days"),
         "late_sum": F.sum("is_late"),
         "late_n": F.count("is_late"),
-        "score_sum": F.sum(score),
-        "score_n": F.count("avg_review_score"),
+        "score_sum": F.sum(score_parts(score)),
+        "score_n": F.count(score).cast("decimal(20,0)") * F.lit(SCORE_PARTS),
     }
 
 

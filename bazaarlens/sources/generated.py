@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaarlens.model import Mart
+from bazaarlens.model import RAW_SCHEMAS, Mart
 from bazaarlens.plans.build import build_dimensions, build_fact_orders, clean
 from bazaarlens.plans.rfm import rfm_segments
+from bazaarlens.sources.raw_csv import RAW_FILES
 from bazaarlens.sources.star_store import read_star, write_star
-from bazaarlens.workspace import materialize, stage_path
+from bazaarlens.workspace import at_once, materialize, stage_path
 
 # Classes of an order's price, at about the quartiles of the generated orders.
 PRICE_EDGES = (0, 100_000, 250_000, 400_000)
@@ -253,6 +254,32 @@ def write_mart(spark: SparkSession, sf_dir: str) -> Mart:
     return read_star(spark, folder, id_types=ID_TYPES)
 
 
+def write_raw_files(spark: SparkSession, sf_dir: str, damaged: bool = False) -> str:
+    """The raw tables as CSV files below a new shared folder, with further columns empty; returns the folder.
+
+    With ``damaged``, some cells hold what is no time, no amount or no whole number.
+    """
+    folder = stage_path(spark, "raw-files")
+    tables = raw_tables(spark, sf_dir)
+    if damaged:
+        status, line, photos = F.col("order_status"), F.col("order_item_id"), F.col("product_photos_qty")
+        approved, price = F.col("order_approved_at").cast("string"), F.col("price").cast("string")
+        bad = {
+            "orders": {"order_approved_at": F.when(status == "processing", "soon").otherwise(approved)},
+            "order_items": {"price": F.when(line == 3, F.concat(price, F.lit(" R$"))).otherwise(price)},
+            "products": {"product_photos_qty": F.when(photos == 5, "5.5").otherwise(photos.cast("string"))},
+        }
+        tables = {name: tables[name].withColumns(columns) for name, columns in bad.items()}
+
+    def step(name: str, df: DataFrame):
+        lacking = [c for c in RAW_SCHEMAS[name].names if c not in df.columns]
+        full = df.withColumns({c: F.lit(None).cast("string") for c in lacking})
+        return lambda: full.write.options(header=True, escape='"').csv(f"{folder}/{RAW_FILES[name].lstrip('*')}")
+
+    at_once({name: step(name, df) for name, df in tables.items()})
+    return folder
+
+
 _MARTS: dict[tuple[str, str], Mart] = {}
 _SEGMENTED: dict[tuple[str, str], DataFrame] = {}
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,21 +35,26 @@ MISSING_TEXTS = (
 )
 
 
-def _typed(name: str, kind: T.DataType | None) -> Column:
+def _present(name: str) -> Column:
+    """The text of a cell, null if it means "missing"."""
     text = F.col(f"`{name}`")
-    present = F.when((text != "") & ~text.isin(*MISSING_TEXTS), text)
+    return F.when((text != "") & ~text.isin(*MISSING_TEXTS), text)
+
+
+def _typed(name: str, kind: T.DataType | None) -> Column:
+    """The value of a cell; null if it is missing or cannot be parsed, see ``rejects``."""
+    present = _present(name)
     if kind is None or isinstance(kind, T.StringType):
         return present.alias(name)
     if isinstance(kind, T.IntegralType):
-        return present.cast("double").cast(kind).alias(name)
-    return present.cast(kind).alias(name)
+        # Whole numbers may be written as 4.0; others are no whole numbers.
+        number = present.try_cast("double")
+        return F.when(number == F.floor(number), number).try_cast(kind).alias(name)
+    return present.try_cast(kind).alias(name)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
-    """Columns by header name, typed where ``schema`` names them, text otherwise.
-
-    ``SOURCE_ORDER`` gives the place of the row: file, block, row. It stays unread unless used.
-    """
+def _as_text(spark: SparkSession, path: str, schema: T.StructType, multiline: bool) -> DataFrame:
+    """The cells of a file as they are written."""
     text = (
         spark.read.option("header", True)
         .option("escape", '"')
@@ -57,16 +63,65 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, multiline: bo
         .option("enforceSchema", False)
         .csv(path)
     )
-    known = {field.name: field.dataType for field in schema.fields}
-    missing = [name for name in known if name not in text.columns]
+    missing = [name for name in schema.names if name not in text.columns]
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}")
-    place = F.struct(
+    return text
+
+
+def _place() -> Column:
+    """Where a row stands in its source: file, block, row."""
+    return F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
-    ).alias(SOURCE_ORDER)
-    return text.select(*[_typed(name, known.get(name)) for name in text.columns], place)
+    )
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
+    """Columns by header name, typed where ``schema`` names them, text otherwise.
+
+    ``SOURCE_ORDER`` gives the place of the row: file, block, row. It stays unread unless used.
+    """
+    text = _as_text(spark, path, schema, multiline)
+    known = {field.name: field.dataType for field in schema.fields}
+    cells = [_typed(name, known.get(name)) for name in text.columns]
+    return text.select(*cells, _place().alias(SOURCE_ORDER))
+
+
+def rejects(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
+    """``column_name, value, file, block, row`` of every cell that is present but not of its column's type.
+
+    ``read_csv`` reads such a cell as null. One pass; rows without a bad cell end in their task.
+    """
+    text = _as_text(spark, path, schema, multiline)
+    typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    if not typed:
+        return spark.createDataFrame([], "column_name string, value string, file string, block bigint, row bigint")
+    cells = [
+        F.struct(
+            F.lit(f.name).alias("column_name"),
+            F.when(_typed(f.name, f.dataType).isNull(), _present(f.name)).alias("value"),
+        )
+        for f in typed
+    ]
+    bad = F.filter(F.array(*cells), lambda c: c["value"].isNotNull())
+    # Rows are numbered before those without a bad cell end.
+    placed = text.select(bad.alias("cells"), _place().alias("place"))
+    return placed.select("place", F.inline("cells")).select("column_name", "value", "place.*")
+
+
+def reject_counts(
+    spark: SparkSession, folder: str, files: Mapping[str, str] = RAW_FILES, names: Iterable[str] = RAW_SCHEMAS
+) -> DataFrame:
+    """``table_name, column_name, rejected`` of all columns with cells that cannot be parsed; part of the quality report."""
+    parts = [
+        rejects(spark, f"{folder.rstrip('/')}/{files[name]}", RAW_SCHEMAS[name], name in _MULTILINE)
+        .groupBy("column_name").agg(F.count("*").alias("rejected"))
+        .select(F.lit(name).alias("table_name"), "column_name", "rejected")
+        for name in names
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _check_one_source(spark: SparkSession, path: str) -> None:
@@ -78,14 +133,14 @@ def _check_one_source(spark: SparkSession, path: str) -> None:
 
 
 def read_raw(
-    spark: SparkSession, folder: str, files: Mapping[str, str] = RAW_FILES
+    spark: SparkSession, folder: str, files: Mapping[str, str] = RAW_FILES, names: Iterable[str] = RAW_SCHEMAS
 ) -> dict[str, DataFrame]:
-    """The nine raw tables, each from one file, or from one folder of files with the same header."""
+    """The nine raw tables, or those named, each from one file, or from one folder of files with the same header."""
     tables = {}
-    for name, schema in RAW_SCHEMAS.items():
+    for name in names:
         path = f"{folder.rstrip('/')}/{files[name]}"
         _check_one_source(spark, path)
-        tables[name] = read_csv(spark, path, schema, name in _MULTILINE)
+        tables[name] = read_csv(spark, path, RAW_SCHEMAS[name], name in _MULTILINE)
     return tables
 
 

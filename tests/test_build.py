@@ -1,5 +1,6 @@
 from datetime import date, datetime
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,14 +113,24 @@ def test_missing_columns_and_files_are_named(spark, raw_dir, tmp_path):
     with pytest.raises(ValueError, match="customer_id"):
         raw_csv.read_raw(spark, str(tmp_path))
     assert set(raw_csv.missing_files(spark, str(tmp_path))) == set(raw_csv.RAW_FILES) - {"orders"}
-    absent, report = profile_raw.profile(spark, raw_dir)
+    absent, report, rejected = profile_raw.profile(spark, raw_dir)
     nulls = {(r.table_name, r.column_name): r.null_count for r in report.collect()}
-    assert absent == []
+    assert absent == [] and rejected.collect() == []
     assert nulls["orders", "order_delivered_customer_date"] == 2
     assert nulls["products", "product_category_name"] == 1
     assert nulls["customers", "customer_id"] == 0
 
 
+def test_a_profile_goes_on_without_a_file(spark, raw_dir, tmp_path):
+    for file in Path(raw_dir).iterdir():
+        if "sellers" not in file.name:
+            (tmp_path / file.name).write_bytes(file.read_bytes())
+    absent, report, _ = profile_raw.profile(spark, str(tmp_path))
+    assert absent == ["sellers"]
+    assert {r.table_name for r in report.collect()} == set(raw_csv.RAW_FILES) - {"sellers"}
+    assert profile_raw.profile(spark, str(tmp_path / "nothing"))[1] is None
+
+
 def test_quality_issues(spark, raw_dir):
     # Nulls in orders, products and reviews; one repeated row in geo.
     assert build_star.log_quality(raw_csv.read_raw(spark, raw_dir)) == 4

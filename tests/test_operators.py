@@ -1,11 +1,12 @@
 import random
+from decimal import Decimal
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from bazaarlens.operators import distribution, grouping, quality
-from bazaarlens.operators.ranking import dense_index, tile_starts, top_k, with_tiles
+from bazaarlens.operators.ranking import dense_index, rows_at, tile_starts, top_k, with_tiles
 
 
 def test_dense_index_with_one_value_in_a_third_of_the_rows(spark):
@@ -133,3 +134,36 @@ def test_shares_and_fixed_order(spark):
     counts = df.dropna().groupBy("k").count()
     ordered = distribution.in_fixed_order(counts, "k", ("c", "b", "a")).collect()
     assert [(r.k, r.position, r["count"]) for r in ordered] == [("c", 1, None), ("b", 2, 2), ("a", 3, 1)]
+
+
+def test_rows_at_ranks_equal_a_sort(spark):
+    draw = random.Random(4)
+    rows = [(i, draw.choice([None, Decimal("0.01") * draw.randrange(-500, 500), Decimal(draw.randrange(3))]),
+             draw.choice([None, draw.randrange(-(10**17), 10**17), 10**17, 10**17 - 1])) for i in range(-150, 250)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "id bigint, a decimal(18,2), b bigint")
+    ranks = [1, 2, 100, 101, 200, 301, 399, 400]
+    got = rows_at(df, {"a": F.col("a"), "b": -F.col("b")}, "id", ranks)
+    for at, sign, name in ((1, 1, "a"), (2, -1, "b")):
+        ordered = sorted(((r[at] is None, sign * (r[at] or 0), r[0]) for r in rows))
+        want = [(None if missing else value, key) for missing, value, key in (ordered[k - 1] for k in ranks)]
+        assert got[name] == want
+    with pytest.raises(ValueError):
+        rows_at(df, {"a": F.col("a")}, "id", [401])
+
+
+def test_quartiles_of_ten_million_equal_values_need_no_sort(spark):
+    df = spark.range(10_000_000).select(F.col("id").alias("key"), F.lit(5).alias("v"))
+    tiled = with_tiles(df, {"tile": F.col("v")}, "key")
+    got = tiled.groupBy("tile").agg(F.count("*").alias("n"), F.min("key").alias("first")).orderBy("tile").collect()
+    assert [tuple(r) for r in got] == [(t + 1, 2_500_000, t * 2_500_000) for t in range(4)]
+    plan = tiled._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Sort" not in plan
+
+
+def test_metrics_of_a_table_in_one_pass(spark):
+    rows = [(1, None, "a"), (1, "a", None), (1, None, "a"), (None, None, None), (None, None, None), (2, "", "x")]
+    df = spark.createDataFrame(rows, "id int, `a.b` string, copies string")
+    got = {tuple(r) for r in quality.table_metrics({"t": df, "none": df.limit(0)}).collect()}
+    want = {("t", "id", 6, 2, 2), ("t", "a.b", 6, 4, 2), ("t", "copies", 6, 3, 2)}
+    assert got == want | {("none", c, 0, 0, 0) for c in df.columns}

@@ -187,13 +187,16 @@ def _scaled_display(mart: Mart) -> DataFrame:
 
 
 def _page(make: Callable[[Mart], dict], series: str) -> Query:
-    """One series of a page of the dashboard."""
-    return _on_mart(lambda mart: make(mart)[series]())
+    """One series of a page of the dashboard, from the report cube."""
+    return lambda spark, sf_dir: _plain(make(generated.open_cube(spark, sf_dir))[series]())
 
 
-def _customer_page(spark: SparkSession, sf_dir: str) -> dict:
-    mart = star.slice_mart(generated.open_mart(spark, sf_dir), year=1996)
-    return dashboard.customer_page(mart, generated.open_segments(spark, sf_dir), CHOSEN_SEGMENTS)
+def _customer_page(series: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        mart, segments = _year(generated.open_cube(spark, sf_dir)), generated.open_segments(spark, sf_dir)
+        return _plain(dashboard.customer_page(mart, segments, CHOSEN_SEGMENTS)[series]())
+
+    return query
 
 
 @cache
@@ -276,10 +279,14 @@ def _registry() -> dict[str, Query]:
         ),
         **{
             f"delivery_page_{series}": _page(lambda m: dashboard.delivery_page(_year(m)), series)
-            for series in ("kpis", "delivery_by_state", "monthly_late_rate", "delivery_histogram", "ontime_vs_late")
+            for series in ("kpis", "delivery_by_state", "monthly_late_rate", "monthly_late_rate_mean", "delivery_histogram", "ontime_vs_late")
+        },
+        **{
+            f"revenue_page_{series}": _page(lambda m: dashboard.revenue_page(_slice(m)), series)
+            for series in ("kpis", "monthly_revenue", "top_categories", "revenue_by_price_bucket", "monthly_aov")
         },
         **{
-            f"customer_page_{series}": (lambda series: lambda s, d: _plain(_customer_page(s, d)[series]()))(series)
+            f"customer_page_{series}": _customer_page(series)
             for series in ("segment_revenue", "review_distribution", "payment_type_split", "top_customers")
         },
         "scaled_display": _on_mart(_scaled_display),

@@ -104,7 +104,11 @@ DELIVERED = "delivered"
 
 @dataclass(frozen=True)
 class Mart:
-    """The star schema: one row per order in ``fact``, five dimensions around it."""
+    """The star schema: one row per order in ``fact``, five dimensions around it.
+
+    ``cells`` and ``buyers`` are the report cube of the fact, if it was built (see ``plans.cube``), and
+    ``chosen`` the slice that was taken of it. Another fact has no cube.
+    """
 
     fact: DataFrame
     dim_date: DataFrame
@@ -112,9 +116,12 @@ class Mart:
     dim_product: DataFrame
     dim_seller: DataFrame
     dim_geography: DataFrame
+    cells: DataFrame | None = None
+    buyers: DataFrame | None = None
+    chosen: tuple[tuple[str, int | str], ...] = ()
 
     def with_fact(self, fact: DataFrame) -> Mart:
-        return replace(self, fact=fact)
+        return replace(self, fact=fact, cells=None, buyers=None, chosen=())
 
     def tables(self) -> dict[str, DataFrame]:
         return {

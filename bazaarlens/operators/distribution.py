@@ -16,7 +16,11 @@ def share_of(value: Column, by: Sequence[str] = ()) -> Column:
 
 def counted_shares(df: DataFrame, label: str, count: str) -> DataFrame:
     """Rows per non-null label with their share, the most frequent first."""
-    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias(count))
+    return with_shares(df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias(count)), label, count)
+
+
+def with_shares(counts: DataFrame, label: str, count: str) -> DataFrame:
+    """Counts with their share, the most frequent first."""
     return counts.withColumn("share_pct", share_of(F.col(count))).orderBy(F.desc(count), label)
 
 

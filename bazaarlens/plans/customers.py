@@ -5,24 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.numbers import half_even_score, percent, zero_if_null
+from bazaarlens.functions.numbers import percent, zero_if_null
 from bazaarlens.model import DELIVERED, Mart
-from bazaarlens.operators.distribution import counted_shares, share_of
+from bazaarlens.operators.distribution import share_of, with_shares
+from bazaarlens.plans.cube import buyers_by_orders
 from bazaarlens.plans.star import totals
 
 
-def _orders_per_customer(mart: Mart) -> DataFrame:
-    return (
-        mart.fact.filter(F.col("customer_key").isNotNull())
-        .groupBy("customer_key")
-        .agg(F.count("order_id").alias("order_count"))
-    )
-
-
 def repeat_buyers(mart: Mart) -> DataFrame:
     """Customers with one order and with more."""
     kind = F.when(F.col("order_count") == 1, "One-time").otherwise("Repeat")
-    return counted_shares(_orders_per_customer(mart).select(kind.alias("buyer_type")), "buyer_type", "customers")
+    counted = buyers_by_orders(mart).groupBy(kind.alias("buyer_type")).agg(F.sum("customers").alias("customers"))
+    return with_shares(counted, "buyer_type", "customers")
 
 
 def repeat_order_histogram(mart: Mart) -> DataFrame:
@@ -30,12 +24,7 @@ def repeat_order_histogram(mart: Mart) -> DataFrame:
 
     The window has one row per number that occurs; the numbers between are made from the gap before.
     """
-    counts = (
-        _orders_per_customer(mart)
-        .filter("order_count > 1")
-        .groupBy(F.col("order_count").alias("at"))
-        .agg(F.count("*").alias("found"))
-    )
+    counts = buyers_by_orders(mart).filter("order_count > 1").toDF("at", "found")
     before = F.coalesce(F.lag("at").over(Window.orderBy("at")), F.lit(1))
     return (
         counts.withColumn("before", before)
@@ -47,14 +36,8 @@ def repeat_order_histogram(mart: Mart) -> DataFrame:
 
 def review_distribution(mart: Mart) -> DataFrame:
     """Orders by rounded mean score; scores below four are flagged."""
-    score = half_even_score(F.col("avg_review_score"))
-    return (
-        mart.fact.filter(F.col("avg_review_score").isNotNull())
-        .groupBy(score.alias("score"))
-        .agg(F.count("*").alias("orders"))
-        .select("score", "orders", (F.col("score") < 4).alias("is_low"))
-        .orderBy("score")
-    )
+    counts = totals(mart, ["score"]).select("score", F.col("n_rows").alias("orders"))
+    return counts.withColumn("is_low", F.col("score") < 4).orderBy("score")
 
 
 def five_star_pct(mart: Mart) -> DataFrame:

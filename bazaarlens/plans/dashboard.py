@@ -12,19 +12,17 @@ from bazaarlens.functions.numbers import benchmark_side, late_status, percent, r
 from bazaarlens.model import Mart
 from bazaarlens.operators.distribution import share_of
 from bazaarlens.plans import customers, delivery, revenue, rfm
+from bazaarlens.plans.cube import buyers_by_orders
 from bazaarlens.plans.star import totals
 
 
 def headline_kpis(mart: Mart) -> DataFrame:
     """One row of totals over all orders."""
-    people = mart.fact.agg(F.countDistinct("customer_key")).scalar()
-    categories = (
-        mart.fact.select("product_key")
-        .distinct()
-        .join(mart.dim_product.select("product_key", "category_en"), "product_key")
-        .agg(F.countDistinct("category_en"))
-        .scalar()
-    )
+    if mart.buyers is None:
+        people = mart.fact.agg(F.countDistinct("customer_key")).scalar()
+    else:
+        people = buyers_by_orders(mart).agg(F.coalesce(F.sum("customers"), F.lit(0))).scalar()
+    categories = totals(mart, ["category_en"]).agg(F.count("*")).scalar()
     return totals(mart).select(
         zero_if_null(F.col("payment_sum")).alias("total_revenue"),
         F.col("n_rows").alias("total_orders"),

@@ -70,11 +70,7 @@ def monthly_late_rate_mean(mart: Mart) -> DataFrame:
 
 def _days_counted(mart: Mart) -> DataFrame:
     """Orders per delivery time in days; combines inside each task."""
-    return (
-        mart.fact.filter(F.col("delivery_days").isNotNull())
-        .groupBy("delivery_days")
-        .agg(F.count("*").alias("orders"))
-    )
+    return totals(mart, ["delivery_days"]).select("delivery_days", F.col("n_rows").alias("orders"))
 
 
 def _with_mean_days(counts: DataFrame) -> DataFrame:

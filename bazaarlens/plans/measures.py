@@ -46,7 +46,7 @@ def _by_day(mart: Mart, by: Sequence[str] = ()) -> DataFrame:
     With attributes, one row per day and group that has revenue, with the attributes of the day.
     """
     if not by:
-        revenue = mart.fact.groupBy("date_key").agg(F.sum("total_payment").alias("revenue"))
+        revenue = totals(mart, ["date_key"]).select("date_key", F.col("payment_sum").alias("revenue"))
         return mart.dim_date.join(revenue, "date_key", "left")
     daily = totals(mart, [*by, "date_key"], keep_null_groups=True).filter("payment_sum IS NOT NULL")
     return daily.select(*by, "date_key", F.col("payment_sum").alias("revenue")).join(mart.dim_date, "date_key")

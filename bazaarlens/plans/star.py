@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.numbers import SCORE_PARTS, score_parts
+from bazaarlens.functions.numbers import SCORE_PARTS, half_even_score, score_parts
 from bazaarlens.model import Mart
 
 ALL = "All"
@@ -26,9 +27,23 @@ ATTRIBUTES = {
     "region": ("dim_geography", "geo_key", "region"),
 }
 
+# What a report can be sliced by, and the attributes that the report cube keeps beside the slicers, one view each.
+SLICERS = ("year", "category_en", "state")
+VIEWS = {
+    "is_late": ("is_late",),
+    "order_status": ("order_status",),
+    "payment_type": ("payment_type",),
+    "price_bucket": ("price_bucket",),
+    "score": ("score",),
+    "month": ("month", "month_name"),
+    "weekday": ("month", "month_name", "day_of_week"),
+    "delivery_days": ("delivery_days",),
+    "day": ("date_key",),
+}
+
 # Additive parts of every measure: the name and how one fact row counts. They are sums, so they can
 # be added up in steps. Averages are quotients of two parts; scores are counted in whole parts.
-def _parts() -> dict[str, Column]:
+def parts() -> dict[str, Column]:
     score = F.col("avg_review_score")
     return {
         "n_rows": F.count("*"),
@@ -48,31 +63,59 @@ def _parts() -> dict[str, Column]:
     }
 
 
+def _view_for(by: Sequence[str]) -> str | None:
+    """The first, so smallest, view of the cube that has all attributes."""
+    return next((view for view, own in VIEWS.items() if set(by) <= {*SLICERS, *own}), None)
+
+
+def _totals_of_cells(mart: Mart, by: Sequence[str], view: str) -> DataFrame:
+    """The parts per group, added up from the stored cells of one view."""
+    cells = mart.cells.filter(F.col("view") == view)
+    for slicer, value in mart.chosen:
+        cells = cells.filter(F.col(slicer) == value)
+    # Of no rows, counts are 0 and sums are missing.
+    counts = [name for name in parts() if name.startswith("n_") or name.endswith("_n")]
+    added = {name: F.sum(name) for name in parts()}
+    added |= {name: F.coalesce(added[name], F.lit(0)) for name in counts}
+    return cells.groupBy(*by).agg(*[part.alias(name) for name, part in added.items()])
+
+
+def with_score(fact: DataFrame) -> DataFrame:
+    """The fact with the mean review score as a whole number, as ``score``."""
+    return fact.withColumn("score", half_even_score(F.col("avg_review_score")))
+
+
 def totals(mart: Mart, by: Sequence[str] = (), keep_null_groups: bool = False) -> DataFrame:
     """The additive parts of all measures per group; unused parts are pruned by the planner.
 
+    With a report cube, they are added up from its cells, as far as it has the attributes.
+
     Date attributes come from the calendar, whose size no fact can raise. For any
     other dimension the fact is first reduced to one row per surrogate key, inside each task and
     then across them, and only these rows meet the dimension. So a key that holds a third of the
     fact is one row by the time it is joined, and the join needs no other partitioning than that
     of the first step.
     """
+    view = _view_for(by) if mart.cells is not None else None
+    if view:
+        stored = _totals_of_cells(mart, by, view)
+        return stored if keep_null_groups or not by else stored.dropna(subset=list(by))
     wanted: dict[str, list[Column]] = {}
     for name in by:
         if name in ATTRIBUTES:
             dim, key, column = ATTRIBUTES[name]
             wanted.setdefault(dim, [F.col(key)]).append(F.col(column).alias(name))
     key_of = {dim: key for dim, key, _ in ATTRIBUTES.values()}
-    fact = mart.fact
+    fact = with_score(mart.fact) if "score" in by else mart.fact
     if "dim_date" in wanted:
         fact = fact.join(mart.dim_date.select(*wanted.pop("dim_date")), "date_key", "left")
     later = {name for name in by if name in ATTRIBUTES and ATTRIBUTES[name][0] in wanted}
     keys = [name for name in by if name not in later] + [key_of[dim] for dim in wanted]
-    result = fact.groupBy(*keys).agg(*[part.alias(name) for name, part in _parts().items()])
+    result = fact.groupBy(*keys).agg(*[part.alias(name) for name, part in parts().items()])
     if wanted:
         for dim, columns in wanted.items():
             result = result.join(getattr(mart, dim).select(*columns), key_of[dim], "left")
-        result = result.groupBy(*by).agg(*[F.sum(name).alias(name) for name in _parts()])
+        result = result.groupBy(*by).agg(*[F.sum(name).alias(name) for name in parts()])
     if by and not keep_null_groups:
         result = result.dropna(subset=list(by))
     return result
@@ -97,7 +140,7 @@ def slice_mart(
     """The mart with a fact reduced to the chosen year, category and state; ``All`` keeps all.
 
     A year becomes a range of date keys that the parquet scan can skip by; the others are semi
-    joins with the matching part of a dimension.
+    joins with the matching part of a dimension. A report cube is sliced along.
     """
     fact = mart.fact
     if year != ALL:
@@ -109,16 +152,21 @@ def slice_mart(
     if state != ALL:
         customers = mart.dim_customer.filter(F.col("state") == state).select("customer_key")
         fact = fact.join(customers, "customer_key", "left_semi")
-    return mart.with_fact(fact)
+    sliced = mart.with_fact(fact)
+    if mart.cells is None:
+        return sliced
+    asked = zip(SLICERS, (year if year == ALL else int(year), category, state), strict=True)
+    chosen = (*mart.chosen, *[(slicer, value) for slicer, value in asked if value != ALL])
+    return replace(sliced, cells=mart.cells, buyers=mart.buyers, chosen=chosen)
 
 
 def slicer_values(mart: Mart) -> DataFrame:
     """Choices of each slicer: the sorted distinct values that occur in the fact."""
-    parts = [
+    years, categories, states = [
         totals(mart, [name]).select(F.lit(name).alias("slicer"), F.col(name).cast("string").alias("value"))
-        for name in ("year", "category_en", "state")
+        for name in SLICERS
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("slicer", "value")
+    return years.unionByName(categories).unionByName(states).orderBy("slicer", "value")
 
 
 def membership(df: DataFrame, column: str, chosen: Iterable[str]) -> DataFrame:

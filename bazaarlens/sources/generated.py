@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from bazaarlens.model import RAW_SCHEMAS, Mart
 from bazaarlens.plans.build import build_dimensions, build_fact_orders, clean
+from bazaarlens.plans.cube import with_cube
 from bazaarlens.plans.rfm import rfm_segments
 from bazaarlens.sources.raw_csv import RAW_FILES
 from bazaarlens.sources.star_store import read_star, write_star
@@ -281,6 +282,7 @@ def write_raw_files(spark: SparkSession, sf_dir: str, damaged: bool = False) ->
 
 
 _MARTS: dict[tuple[str, str], Mart] = {}
+_CUBES: dict[tuple[str, str], Mart] = {}
 _SEGMENTED: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -296,6 +298,14 @@ def open_mart(spark: SparkSession, sf_dir: str) -> Mart:
     return _MARTS[place]
 
 
+def open_cube(spark: SparkSession, sf_dir: str) -> Mart:
+    """The stored star schema with its report cube, made on first use."""
+    place = _place(spark, sf_dir)
+    if place not in _CUBES:
+        _CUBES[place] = with_cube(open_mart(spark, sf_dir))
+    return _CUBES[place]
+
+
 def open_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored customer segmentation of this application, made on first use."""
     place = _place(spark, sf_dir)

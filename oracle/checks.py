@@ -498,7 +498,32 @@ STATEMENTS: dict[str, str] = {
         f"""SELECT year, month, month_name, {_PERIOD} AS period, {_SUM_PAID} AS revenue
             FROM sales WHERE category_en = 'unknown' GROUP BY year, month, month_name"""
     ),
-    # Pages 2 and 3 of the dashboard for one year.
+    # Pages of the dashboard, sliced.
+    "revenue_page_kpis": over_star(f"SELECT {_KPIS} FROM sales WHERE {_SLICE}"),
+    "revenue_page_monthly_revenue": over_star(
+        f"""SELECT year, month, month_name, {_PERIOD} AS period, {_SUM_PAID} AS revenue
+            FROM sales WHERE {_SLICE} GROUP BY year, month, month_name"""
+    ),
+    "revenue_page_top_categories": over_star(
+        f"""SELECT category_en, {_SUM_PAID} AS revenue FROM sales WHERE {_SLICE} AND category_en IS NOT NULL
+            GROUP BY category_en ORDER BY coalesce(sum(total_payment), 0) DESC, category_en LIMIT 10"""
+    ),
+    "revenue_page_revenue_by_price_bucket": over_star(
+        f"""SELECT price_bucket, position, CAST(revenue AS DOUBLE) AS revenue, order_count
+           FROM (SELECT unnest(['budget', 'mid-range', 'premium', 'luxury']) AS price_bucket,
+                        CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS position)
+           LEFT JOIN (SELECT price_bucket, coalesce(sum(total_payment), 0) AS revenue,
+                        count(total_payment) AS order_count FROM sales WHERE {_SLICE} GROUP BY price_bucket)
+           USING (price_bucket)"""
+    ),
+    "revenue_page_monthly_aov": over_star(
+        f"""SELECT year, month, {_PERIOD} AS period, {_MEAN_PAID} AS avg_order_value
+            FROM sales WHERE {_SLICE} GROUP BY year, month"""
+    ),
+    "delivery_page_monthly_late_rate_mean": over_star(
+        f"SELECT {_mean('late_rate_pct', 'year, month')} AS mean_monthly_late_rate_pct FROM late_months",
+        _of_year(LATE_MONTHS),
+    ),
     "delivery_page_kpis": over_star(f"SELECT {_KPIS} FROM sales WHERE {_YEAR}"),
     "delivery_page_delivery_by_state": over_star(
         f"""SELECT state, avg_delivery_days,

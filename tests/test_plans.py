@@ -1,9 +1,10 @@
+import random
 from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from bazaarlens.plans import cohort, customers, dashboard, delivery, measures, revenue, rfm, star
+from bazaarlens.plans import cohort, cube, customers, dashboard, delivery, measures, revenue, rfm, star
 
 
 def key(day: date) -> int:
@@ -243,3 +244,46 @@ def test_slices(make_mart):
     ]
     pages = [*dashboard.revenue_page(mart).values(), *dashboard.delivery_page(mart).values()]
     assert all(make().columns for make in pages)
+
+
+def test_the_cube_gives_what_the_fact_gives(spark, make_mart):
+    draw = random.Random(8)
+    facts = [
+        {
+            "date_key": draw.choice([20170101, 20170215, 20180103, 20180228, None]),
+            "customer_key": draw.choice([1, 2, 3, 4, None, 9]), "product_key": draw.choice([1, 2, None, 7]),
+            "total_payment": draw.choice([None, 5, 10.25]), "total_price": draw.choice([None, 4]), "is_late": draw.choice([0, 1]),
+            "order_status": draw.choice(["delivered", "shipped"]), "payment_type": draw.choice([None, "card"]),
+            "delivery_days": draw.choice([None, -1, 3, 70]), "avg_review_score": draw.choice([None, 2.5, 3.5, 5.0]),
+            "price_bucket": draw.choice(["budget", None]),
+        }
+        for _ in range(200)
+    ]
+    mart = make_mart(
+        facts, date(2017, 1, 1), date(2018, 3, 1),
+        customers=[{"customer_key": i, "state": s} for i, s in enumerate(["SP", "SP", None, "RJ"], 1)],
+        products=[{"product_key": 1, "category_en": "toys"}, {"product_key": 2, "category_en": None}],
+    )
+    whole = cube.with_cube(mart)
+    series = [
+        dashboard.headline_kpis, customers.repeat_buyers, customers.repeat_order_histogram, customers.review_distribution,
+        delivery.delivery_histogram_lt60, revenue.revenue_heatmap, revenue.monthly_aov, measures.revenue_mtd, star.slicer_values,
+        measures.rolling_30d_calendar, lambda m: measures.measure_totals(m, ["state", "day_of_week"]),
+    ]
+    for choice in ({}, {"year": 2018}, {"year": "2017", "state": "SP"}, {"category": "toys", "state": "RJ"}, {"state": "XX"}):
+        for make in series:
+            want, got = make(star.slice_mart(mart, **choice)), make(star.slice_mart(whole, **choice))
+            assert got.columns == want.columns
+            assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()] or sorted(
+                map(tuple, got.collect()), key=str
+            ) == sorted(map(tuple, want.collect()), key=str)
+            assert "order_id" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_running_sum_has_two_rows_per_day_of_a_group(spark, make_mart):
+    facts = [{"date_key": 20170101 + i % 28, "customer_key": 1, "total_payment": 1} for i in range(200)]
+    mart = make_mart(facts, date(2017, 1, 1), date(2017, 3, 1), customers=[{"customer_key": 1, "state": "SP"}])
+    rows = measures.rolling_30d_calendar(mart, "month", ["state"]).collect()
+    # The window of 31 January begins on the 2nd; nothing of January counts on the last day of February.
+    in_window = sum(i % 28 >= 1 for i in range(200))
+    assert [(r["state"], r["month"], int(r["rolling_30d_revenue"])) for r in rows] == [("SP", 1, in_window)]

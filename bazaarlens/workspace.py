@@ -45,6 +45,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*stored: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned. No later step may read them, and all that did are stored."""
+    for df in stored:
+        spark = df.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()[:1]}:
+            if "/bazaarlens/" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def at_once(steps: Mapping[str, Callable[[], Result]]) -> dict[str, Result]:
     """Run independent steps side by side, so that small jobs share the cluster; all must succeed."""
     with ThreadPoolExecutor(max_workers=max(1, len(steps))) as pool:

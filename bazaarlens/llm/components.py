@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.workspace import materialize
+from bazaarlens.workspace import materialize, release
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +51,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         small = down.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             lowest.select("a", F.col("m").alias("b"))
         )
-        edges = materialize(small.filter("a <> b").distinct(), "links")
+        last, edges = edges, materialize(small.filter("a <> b").distinct(), "links")
+        release(last, down)
         # Exclusive or does not overflow, whatever the size of the ids.
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", F.lit(1)))).first()
         if state == before:

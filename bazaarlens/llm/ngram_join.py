@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from bazaarlens.llm.common import map_texts
 from bazaarlens.llm.components import connected_components
 from bazaarlens.operators.ranking import dense_index
-from bazaarlens.workspace import materialize
+from bazaarlens.workspace import materialize, release
 
 WORDS = 5
 #: A pair is linked from this similarity on, in percent.
@@ -268,14 +268,17 @@ def _found(a, na, b, nb, shared) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["a", "na", "b", "nb", "shared"])
 
 
-def _candidates(sets: DataFrame, percent: int, few: int, label: str) -> tuple[DataFrame, DataFrame]:
-    """From ``sid, n, shingles``: pairs ``a, na, b, nb, shared``, and ``sid, n, common`` of sets with common shingles."""
+def _candidates(sets: DataFrame, percent: int, few: int, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From ``sid, n, shingles``: pairs ``a, na, b, nb, shared``, and ``sid, n, common`` of sets with common shingles.
+
+    Last comes the stored table of both.
+    """
     posted = sets.mapInArrow(_post(few), _POSTED)
     by_token = posted.repartition(F.coalesce("token", "sid")).sortWithinPartitions("token")
     gathered = by_token.mapInArrow(_gather(percent, few), _FOUND)
     found = materialize(gathered.groupBy("a", "na", "b", "nb").agg(F.sum("shared").alias("shared")), label)
     common = found.filter("b IS NULL").select(F.col("a").alias("sid"), F.col("na").alias("n"), F.col("shared").alias("common"))
-    return found.filter("b IS NOT NULL"), common
+    return found.filter("b IS NOT NULL"), common, found
 
 
 def _bounded(pairs: DataFrame, common: DataFrame, percent: int, unposted) -> DataFrame:
@@ -397,8 +400,8 @@ def spanning(links: list[tuple[int, int]], same: bool) -> list[tuple[int, int]]:
     return kept
 
 
-def _matrix_links(core: DataFrame, percent: int, group: int) -> DataFrame:
-    """Links among sets ``sid, n, shingles`` by the token-group matrix."""
+def _matrix_links(core: DataFrame, percent: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """Links among sets ``sid, n, shingles`` by the token-group matrix, and the table they are read from."""
     order = ["first", "second", "sid", "n"]
     keyed = core.select(
         "sid", "n", F.get("shingles", F.lit(0)).alias("first"),
@@ -449,7 +452,7 @@ def _matrix_links(core: DataFrame, percent: int, group: int) -> DataFrame:
             )
 
     links = "a bigint, na int, b bigint, nb int"
-    return both.mapInArrow(run, links).unionByName(alone.mapInArrow(run, links))
+    return both.mapInArrow(run, links).unionByName(alone.mapInArrow(run, links)), numbered
 
 
 def near_duplicates(
@@ -479,7 +482,8 @@ def near_duplicates(
         }
 
     described = map_texts(rows, ["doc_id"], describe, {"n": "int", "sid": "bigint", "shingles": "array<bigint>"})
-    sets = materialize(described, "sets")
+    posted = materialize(described, "sets")
+    sets = materialize(posted.select("doc_id", "n", "sid"), "ids")
     full = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(full.groupBy("sid", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
@@ -492,7 +496,9 @@ def near_duplicates(
     def crowded(common: Column, n: Column) -> Column:
         return common >= F.least(F.lit(AT_FIRST), part(n))
 
-    pairs, common = _candidates(full.select("sid", "n", "shingles"), percent, few, "candidates")
+    first = posted.filter("n > 0 AND doc_id IS NOT NULL").select("sid", "n", "shingles")
+    pairs, common, met = _candidates(first, percent, few, "candidates")
+    release(posted)
     # What is not posted: the least part but for its first shingles.
     bounded = _bounded(pairs, common, percent, lambda n: part(n) - F.least(F.lit(AT_FIRST), part(n)))
     # Two crowded sets meet again.
@@ -501,10 +507,12 @@ def near_duplicates(
         "light",
     )
     crowd = _sets_of(rows, common.filter(crowded(F.col("common"), F.col("n"))), words, lambda n: later_posted(n, percent))
-    more, common = _candidates(crowd.select("sid", "n", "shingles"), percent, few, "crowd")
+    release(met)
+    more, common, met = _candidates(crowd.select("sid", "n", "shingles"), percent, few, "crowd")
     rare = materialize(
         _bounded(more, common, percent, lambda n: part(n) - later(n)).select("a", "na", "b", "nb").unionByName(light), "rare"
     )
+    release(light)
     # A partner has at least the least part of the shingles, and posts accordingly.
     core = common.filter(F.col("common") >= later(part(F.col("n")))).select("sid", "n")
 
@@ -519,9 +527,8 @@ def near_duplicates(
     if ids["rows"] > ids["ids"]:
         exact = exact.dropDuplicates(["sid", "n"])
     whole = materialize(exact.select("sid", "n", "shingles"), "whole")
-    links = _verified(rare, whole, percent).unionByName(
-        _matrix_links(whole.join(core, ["sid", "n"], "left_semi"), percent, group)
-    )
+    matrix_links, numbered = _matrix_links(whole.join(core, ["sid", "n"], "left_semi"), percent, group)
+    links = _verified(rare, whole, percent).unionByName(matrix_links)
 
     names = [classes.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("rep").alias(f"rep_{s}")) for s in "ab"]
     edges = links.join(names[0], ["a", "na"]).join(names[1], ["b", "nb"]).select(
@@ -533,9 +540,9 @@ def near_duplicates(
             full.join(classes, ["sid", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
         )
     found = connected_components(edges)
+    release(met, rare, whole, numbered)
     return (
-        sets.select("doc_id", "n", "sid")
-        .join(classes, ["sid", "n"], "left")
+        sets.join(classes, ["sid", "n"], "left")
         .join(found, F.col("rep") == F.col("node"), "left")
         .select(
             "doc_id",

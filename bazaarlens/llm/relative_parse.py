@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.llm.common import bounded_slices
 from bazaarlens.llm.sieve import Sieve
-from bazaarlens.workspace import materialize
+from bazaarlens.workspace import materialize, release
 
 WINDOW = 50
 #: Words of an anchor, or a third of a short window.
@@ -264,8 +264,11 @@ def repeated_spans(
     facts = materialize(facts.withColumn("row", F.monotonically_increasing_id()), "facts")
 
     # Texts that are equal are one; only the smallest id that has it takes part, by one of its rows.
-    per_id = facts.groupBy("digest", "doc_id").agg(
-        F.min("row").alias("row"), F.count("*").alias("copies"), F.min("n_words").alias("n_words")
+    per_id = materialize(
+        facts.groupBy("digest", "doc_id").agg(
+            F.min("row").alias("row"), F.count("*").alias("copies"), F.min("n_words").alias("n_words")
+        ),
+        "ids",
     )
     classes = materialize(
         per_id.groupBy("digest").agg(
@@ -279,6 +282,7 @@ def repeated_spans(
     places = materialize(
         facts.join(classes.select("row"), "row", "left_semi").select("row", "doc_id", F.inline("anchors")), "places"
     )
+    release(facts)
     references = (
         places.groupBy("hash")
         .agg(
@@ -299,6 +303,7 @@ def repeated_spans(
         "visits",
     )
 
+    release(places)
     met = visits.select("row", "block").union(visits.select("to_row", "to_block"))
     wanted = met.distinct().groupBy("row").agg(F.collect_list("block").alias("blocks"))
     wanted = materialize(
@@ -320,6 +325,7 @@ def repeated_spans(
         "parsed",
     )
 
+    release(visits, blocks, wanted)
     left = parsed.select("row", "doc_id", F.inline("left"))
     first_of = (
         left.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))

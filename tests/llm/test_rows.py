@@ -209,6 +209,33 @@ def test_names_inside_an_article_and_raw_elements_that_close_themselves():
     assert html_pages.page_blocks(page) == (["Work", "Notice", "Label", "End"], [])
 
 
+def test_notices_adverts_and_comments_inside_main_under_compound_names():
+    page = """<main><p data-x=it's>Hello</p><p>it's here</p><div id="comments" class="comments-area">no</div>
+    <ol class="comment-list"><li>no</ol><div class="ad-slot">no</div><div class="cookie-banner">no</div>
+    <div class="newsletter-signup">no</div><div class="share-buttons">no</div><section id="reader-comments"><h3>Reader comments</h3>no</section>
+    <section id="comment-syntax"><h2>Comment syntax</h2>yes</section><div class="load-bar">bar</div>
+    <div class="add-on">on</div><section id="cookie-recipes"><h2>Cookie recipes</h2>flour</section></main>"""
+    want = ["Hello", "it's here", "Comment syntax", "yes", "bar", "on", "Cookie recipes", "flour"]
+    assert html_pages.page_blocks(page) == (want, [])
+
+
+@pytest.mark.parametrize("limits", [{}, {"group_pages": 2}, {"group_chars": 100}])
+def test_a_story_outside_of_the_article_stays_in_page_order(spark, limits):
+    line = "every page of this host ends with these same words of its publisher in a plain box"
+
+    def story(i: int) -> str:
+        return " ".join(f"word{i}x{k}" for k in range(20))
+
+    rows = [
+        (i, f"http://h/{i}", f"""<article>teaser {i}</article><div class="content">{story(i)}</div><div>{line}</div>
+        <div>short {i}</div><div>{" ".join(f"<a href=/{k}>link {i} {k}</a>" for k in range(20))}</div><article>end</article>""")
+        for i in range(7)
+    ]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_pages.extract_text(df, "page_id", "url", "html", **limits).collect()}
+    assert got == {i: f"teaser {i} {story(i)} end" for i in range(7)}
+
+
 def test_open_blocks_that_pages_share_go(spark):
     rows = [
         (i, f"http://Host.org/{i}", f"<div>all pages of this host say so here</div><div>only page {i} says {i * 7} things</div>")

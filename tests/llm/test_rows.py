@@ -296,29 +296,98 @@ def test_chats_fill_in_roles_and_cut_speakers(spark):
     got = chat.format_chats(df, "conv_id", "turn", "role", "text").collect()
     by = {c: [(r["role"], r["recovered"]) for r in sorted(got, key=lambda r: r["slot"]) if r["conv_id"] == c] for c in (1, 2, None)}
     assert by[1] == [("system", False), ("user", True), ("assistant", False), ("user", True)]
-    assert by[2] == [("user", False), ("assistant", False)]
+    assert by[2] == [("user", False), ("assistant", False)] * 2
     assert by[None] == [("user", False)]
     assert chat.format_chats(df.limit(0), "conv_id", "turn", "role", "text").count() == 0
 
 
-def test_blocks_decode_like_one_long_viterbi(spark):
+def test_given_roles_stand_and_names_are_evidence(spark):
+    options = "Two options:\na: take the bus\nQuestion: which one do you like?"
+    faq = "Q: why?\nA: so\nQ: when?\nA: now"
+    rows = [
+        (1, 0, "user", "go"), (1, 1, "assistant", options), (1, 2, "user", "Assistant: is that you?"), (1, 3, "assistant", faq),
+        (2, 0, "user", faq), (3, None, None, "go on"), (3, None, None, "go on"), (4, 0, None, f"Human: hi\nBot: {options}"),
+        (5, 0, "user", "q: own name"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").withColumn("given", F.lit(1))
+    got = chat.format_chats(df, "conv_id", "turn", "role", "text").collect()
+    by = {c: [r["rendered"] for r in sorted(got, key=lambda r: r["slot"]) if r["conv_id"] == c] for c in range(1, 6)}
+
+    def turn(role, text):
+        return f"<|{role}|>\n{text}<|end|>\n"
+
+    assert by[1] == [turn("user", "go"), turn("assistant", options), turn("user", "Assistant: is that you?"), turn("assistant", faq)]
+    assert by[2] == [turn("user", "why?"), turn("assistant", "so"), turn("user", "when?"), turn("assistant", "now")]
+    assert len(by[3]) == 2 and all(r.endswith("\ngo on<|end|>\n") for r in by[3])
+    assert by[4] == [turn("user", "hi"), turn("assistant", options)]
+    assert by[5] == [turn("user", "own name")]
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_transitions_are_counted_over_all_neighbours(spark, block):
+    rng = np.random.default_rng(5)
+    kinds = [(0, None)] * 3 + [(0, 1), (0, 2), (1, 0), (2, 3)]
+    convs = [[kinds[k] for k in rng.integers(0, len(kinds), size=n)] for n in (1, 3, 4, 30, 7)]
+    rows, position = [], 0
+    for c, turns in enumerate(convs):
+        for kind, marker in turns:
+            position += 1
+            rows.append((c or None, position, marker, kind, 0))
+    df = spark.createDataFrame(rows, "conv_id int, position bigint, marker int, kind int, feature int")
+    sure = [[None if kind == chat.WEAK else marker for kind, marker in turns] for turns in convs]
+    start, follows = chat.PRIOR * np.array(chat.START), chat.PRIOR * np.array(chat.FOLLOWS)
+    for turns in sure:
+        if turns[0] is not None:
+            start[turns[0]] += 1
+        for a, b in itertools.pairwise(turns):
+            if a is not None and b is not None:
+                follows[a, b] += 1
+    got = chat.learned_transitions(chat.in_conversations(df), block)
+    assert np.allclose(got[0], start / start.sum()) and np.allclose(got[1], follows / follows.sum(axis=1, keepdims=True))
+
+
+def _one_path(rows, step, start):
+    """Viterbi of one sequence, plainly."""
+    scores, back = start + rows[0], []
+    for row in rows[1:]:
+        options = scores[:, None] + step
+        back.append(options.argmax(axis=0))
+        scores = options.max(axis=0) + row
+    path = [int(scores.argmax())]
+    for choice in reversed(back):
+        path.append(int(choice[path[-1]]))
+    return path[::-1]
+
+
+@pytest.mark.parametrize("block, fan", [(7, 256), (7, 3), (2, 2), (256, 256)])
+def test_blocks_decode_like_one_long_viterbi(spark, block, fan):
     rng = np.random.default_rng(11)
-    markers, features = rng.choice([-1, -1, -1, 0, 1, 2], size=120), rng.integers(0, 96, size=120)
     emissions = np.log(rng.dirichlet(np.ones(96), size=4))
     step, start = np.log(np.array(chat.FOLLOWS)), np.log(np.array(chat.START))
-    want = chat.best_path(chat.emission_rows(markers, features, emissions), step, start)
-    rows = [(1, i + 1, None if m < 0 else int(m), int(f)) for i, (m, f) in enumerate(zip(markers, features, strict=True))]
-    df = spark.createDataFrame(rows, "conv_id int, position bigint, marker int, feature int")
-    got = chat.recover_roles(df, emissions, block=7).orderBy("position").collect()
-    assert [r["state"] for r in got] == list(want)
+    rows, want, position = [], [], 0
+    for c, n in enumerate([120, 1, 7, 8, 30, 2]):
+        markers, kinds, features = rng.choice([-1, -1, -1, 0, 1, 2], size=n), rng.integers(0, 3, size=n), rng.integers(0, 96, size=n)
+        codes = np.where(markers < 0, 0, 1 + 4 * kinds + markers) * 96 + features
+        want += _one_path(chat.code_scores(emissions)[codes], step, start)
+        for m, k, f in zip(markers, kinds, features, strict=True):
+            position += 1
+            rows.append((c or None, position, None if m < 0 else int(m), int(k), int(f)))
+    df = spark.createDataFrame(rows, "conv_id int, position bigint, marker int, kind int, feature int")
+    got = chat.recover_roles(chat.in_conversations(df), emissions, block=block, fan=fan).orderBy("position").collect()
+    assert [r["state"] for r in got] == want and [r["position"] for r in got] == list(range(1, len(rows) + 1))
 
 
 def test_viterbi_finds_the_best_of_all_paths():
     rng = np.random.default_rng(4)
-    rows, step, start = np.log(rng.random((6, 3))), np.log(rng.random((3, 3))), np.log(rng.random(3))
+    scores, step, start = np.log(rng.random((6, 3))), np.log(rng.random((3, 3))), np.log(rng.random(3))
 
     def score(path):
-        return start[path[0]] + rows[0][path[0]] + sum(step[a, b] + rows[i + 1][b] for i, (a, b) in enumerate(zip(path, path[1:])))
+        return start[path[0]] + scores[0][path[0]] + sum(step[a, b] + scores[i + 1][b] for i, (a, b) in enumerate(zip(path, path[1:])))
 
     best = max(itertools.product(range(3), repeat=6), key=score)
-    assert tuple(chat.best_path(rows, step, start)) == best
+    none = np.array([-1])
+    (path,) = chat.best_paths([np.arange(6)], none, none, scores, start, step)
+    assert tuple(path) == best
+    held = max((p for p in itertools.product(range(3), repeat=6) if p[-1] == 2), key=score)
+    assert tuple(chat.best_paths([np.arange(6)], none, np.array([2]), scores, start, step)[0]) == held
+    assert np.isclose(chat.block_matrices([np.arange(6)], np.array([True]), scores, start, step)[0, 0, 2], score(held))

@@ -102,12 +102,17 @@ SEGMENTS = (
 DELIVERED = "delivered"
 
 
+#: The stored fact has a folder per year of its calendar day; the column that names the folder is no attribute of an order.
+FACT_PARTITION = "order_year"
+
+
 @dataclass(frozen=True)
 class Mart:
     """The star schema: one row per order in ``fact``, five dimensions around it.
 
     ``cells`` and ``buyers`` are the report cube of the fact, if it was built (see ``plans.cube``), and
-    ``chosen`` the slice that was taken of it. Another fact has no cube.
+    ``chosen`` the slice that was taken of it. ``by_year`` is the fact with ``FACT_PARTITION``, where it is
+    stored by year. Another fact has neither.
     """
 
     fact: DataFrame
@@ -119,9 +124,10 @@ class Mart:
     cells: DataFrame | None = None
     buyers: DataFrame | None = None
     chosen: tuple[tuple[str, int | str], ...] = ()
+    by_year: DataFrame | None = None
 
     def with_fact(self, fact: DataFrame) -> Mart:
-        return replace(self, fact=fact, cells=None, buyers=None, chosen=())
+        return replace(self, fact=fact, cells=None, buyers=None, chosen=(), by_year=None)
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -136,4 +142,6 @@ class Mart:
     @classmethod
     def from_tables(cls, tables: dict[str, DataFrame]) -> Mart:
         dims = {name: df for name, df in tables.items() if name != "fact_orders"}
-        return cls(fact=tables["fact_orders"], **dims)
+        fact = tables["fact_orders"]
+        by_year = fact if FACT_PARTITION in fact.columns else None
+        return cls(fact=fact.drop(FACT_PARTITION), by_year=by_year, **dims)

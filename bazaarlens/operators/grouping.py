@@ -1,10 +1,10 @@
-"""Per-key picks. All combine inside each task before the shuffle, so a hot key stays cheap."""
+"""Per-key picks. All reduce to one row per key inside each task before the shuffle, so a hot key stays cheap."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,8 +20,11 @@ def most_common(column: str) -> Column:
 
 
 def first_row_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Keep the first row of every key in ``order``; null keys form one group."""
-    rest = [c for c in df.columns if c != key]
-    tail = [c for c in rest if c not in order]
-    row = F.min(F.struct(*[F.col(c) for c in (*order, *tail) if c != key])).alias("row")
-    return df.groupBy(key).agg(row).select(*[F.col(key) if c == key else F.col(f"row.{c}") for c in df.columns])
+    """Keep the first row of every key in ``order``; null keys form one group.
+
+    The planner limits every group to its first row before the shuffle, too.
+    """
+    columns = [c for c in df.columns if c != key]
+    by = [F.col(c) for c in (*[c for c in order if c != key], *[c for c in columns if c not in order])]
+    ranked = df.withColumn("__place", F.row_number().over(Window.partitionBy(key).orderBy(*by)))
+    return ranked.filter("__place = 1").drop("__place")

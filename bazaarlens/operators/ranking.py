@@ -50,6 +50,30 @@ def dense_index(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     )
 
 
+def file_index(df: DataFrame, place: str, name: str, whole: bool = False) -> DataFrame:
+    """Add ``name`` = 1..n in the order of ``place``, a struct ``file, block, row`` of a table read from files.
+
+    No global sort: the rows of every block of a file are counted, blocks are put in order, and a row
+    adds its place inside its block to the sizes of all earlier blocks. ``row`` rises inside a block,
+    which is a unit of reading and so bounded. With ``whole``, every row that was read is still there,
+    once, and the place inside a block is the distance to its first row; otherwise the rows of a block
+    are ranked, which moves them to one task per block.
+    """
+    file, block, row = (F.col(f"{place}.{part}") for part in ("file", "block", "row"))
+    parts = df.withColumns({"__file": file, "__block": block})
+    keys = ["__file", "__block"]
+    sizes = parts.groupBy(*keys).agg(F.count("*").alias("__size"), F.min(row).alias("__first"))
+    # One row per block of a file: as many as there are tasks that read the table.
+    earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "__first", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias(_BEFORE))
+    if whole:
+        inside = row - F.col("__first") + 1
+    else:
+        parts = parts.withColumn(_SLOT, F.row_number().over(Window.partitionBy(*keys).orderBy(row)))
+        inside = F.col(_SLOT)
+    return parts.join(offsets, keys).withColumn(name, F.col(_BEFORE) + inside).select(*df.columns, name)
+
+
 def tile_starts(rows: int, tiles: int) -> list[int]:
     """1-based positions where tiles 2..k begin; the first ``rows % tiles`` tiles get one row more."""
     size, rest = divmod(rows, tiles)

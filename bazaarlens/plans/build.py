@@ -18,7 +18,7 @@ from bazaarlens.model import (
     Mart,
 )
 from bazaarlens.operators.grouping import first_present, first_row_per_key, most_common
-from bazaarlens.operators.ranking import dense_index
+from bazaarlens.operators.ranking import dense_index, file_index
 from bazaarlens.workspace import at_once
 
 Tables = Mapping[str, DataFrame]
@@ -35,6 +35,13 @@ def _row_order(df: DataFrame, natural: Sequence[str]) -> list[str]:
     return [*natural, *(c for c in df.columns if c not in natural)]
 
 
+def _numbered(df: DataFrame, natural: Sequence[str], name: str, whole: bool = False) -> DataFrame:
+    """Rows numbered in their order; see ``file_index`` for ``whole``."""
+    if SOURCE_ORDER in df.columns:
+        return file_index(df, SOURCE_ORDER, name, whole)
+    return dense_index(df, [F.col(c) for c in _row_order(df, natural)], name)
+
+
 def _shaped(df: DataFrame, table: str) -> DataFrame:
     """Columns of a star table in their order."""
     return df.select(*STAR_SCHEMAS[table].names)
@@ -103,8 +110,7 @@ def build_dim_customer(customers: DataFrame) -> DataFrame:
     named = customers.withColumnsRenamed(
         {"customer_zip_code_prefix": "zip_code", "customer_city": "city", "customer_state": "state"}
     )
-    order = [F.col(c) for c in _row_order(named, ["customer_id"])]
-    return _shaped(dense_index(named, order, "customer_key"), "dim_customer")
+    return _shaped(_numbered(named, ["customer_id"], "customer_key", whole=True), "dim_customer")
 
 
 def build_dim_product(products: DataFrame, category_xlat: DataFrame) -> DataFrame:
@@ -123,16 +129,14 @@ def build_dim_product(products: DataFrame, category_xlat: DataFrame) -> DataFram
     )
     wanted = {SOURCE_ORDER, *STAR_SCHEMAS["dim_product"].names}
     slim = named.select(*[c for c in named.columns if c in wanted])
-    order = [F.col(c) for c in _row_order(slim, ["product_id"])]
-    return _shaped(dense_index(slim, order, "product_key"), "dim_product")
+    return _shaped(_numbered(slim, ["product_id"], "product_key"), "dim_product")
 
 
 def build_dim_seller(sellers: DataFrame) -> DataFrame:
     named = sellers.withColumnsRenamed(
         {"seller_zip_code_prefix": "zip_code", "seller_city": "city", "seller_state": "state"}
     )
-    order = [F.col(c) for c in _row_order(named, ["seller_id"])]
-    return _shaped(dense_index(named, order, "seller_key"), "dim_seller")
+    return _shaped(_numbered(named, ["seller_id"], "seller_key", whole=True), "dim_seller")
 
 
 def with_region(df: DataFrame, regions: DataFrame | Mapping[str, str] = STATE_REGIONS) -> DataFrame:
@@ -157,8 +161,7 @@ def build_dim_geography(
             "geolocation_state": "state",
         }
     )
-    order = [F.col(c) for c in _row_order(named, ["zip_code"])]
-    return _shaped(dense_index(with_region(named, regions), order, "geo_key"), "dim_geography")
+    return _shaped(_numbered(with_region(named, regions), ["zip_code"], "geo_key"), "dim_geography")
 
 
 def payments_per_order(payments: DataFrame) -> DataFrame:

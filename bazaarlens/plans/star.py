@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.numbers import SCORE_PARTS, half_even_score, score_parts
-from bazaarlens.model import Mart
+from bazaarlens.model import FACT_PARTITION, Mart
 
 ALL = "All"
 
@@ -139,12 +139,14 @@ def slice_mart(
 ) -> Mart:
     """The mart with a fact reduced to the chosen year, category and state; ``All`` keeps all.
 
-    A year becomes a range of date keys that the parquet scan can skip by; the others are semi
-    joins with the matching part of a dimension. A report cube is sliced along.
+    A year becomes a range of date keys that the parquet scan can skip by, and the folder of that
+    year where the fact is stored by year; the others are semi joins with the matching part of a dimension. A report cube is sliced along.
     """
     fact = mart.fact
     if year != ALL:
         first = int(year) * 10_000
+        if mart.by_year is not None:
+            fact = mart.by_year.filter(F.col(FACT_PARTITION) == int(year)).drop(FACT_PARTITION)
         fact = fact.filter(F.col("date_key").between(first, first + 9_999))
     if category != ALL:
         products = mart.dim_product.filter(F.col("category_en") == category).select("product_key")

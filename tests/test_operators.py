@@ -4,9 +4,12 @@ from decimal import Decimal
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from bazaarlens.model import SOURCE_ORDER
 from bazaarlens.operators import distribution, grouping, quality
-from bazaarlens.operators.ranking import dense_index, rows_at, tile_starts, top_k, with_tiles
+from bazaarlens.operators.ranking import dense_index, file_index, rows_at, tile_starts, top_k, with_tiles
+from bazaarlens.sources import raw_csv
 
 
 def test_dense_index_with_one_value_in_a_third_of_the_rows(spark):
@@ -25,6 +28,29 @@ def test_dense_index_of_nothing(spark):
     assert dense_index(df, [F.col("id")], "n").collect() == []
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_rows_are_numbered_in_file_order_without_a_sort(spark, tmp_path, whole):
+    for name, first, last in (("a", 0, 700), ("b", 700, 701), ("c", 701, 1500)):
+        (tmp_path / f"{name}.csv").write_text("id\n" + "".join(f"id{k:05d}\n" for k in range(first, last)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        schema = T.StructType([T.StructField("id", T.StringType())])
+        df = raw_csv.read_csv(spark, str(tmp_path), schema)
+        kept = [k for k in range(1500) if whole or k % 3]
+        if not whole:
+            df = df.filter(F.col("id").isin([f"id{k:05d}" for k in kept])).repartition(5)
+        numbered = file_index(df, SOURCE_ORDER, "n", whole)
+        rows = numbered.select("id", "n").collect()
+        blocks = df.select(f"{SOURCE_ORDER}.file", f"{SOURCE_ORDER}.block").distinct().count()
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert file_index(df.limit(0), SOURCE_ORDER, "n", whole).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert blocks > 10 and "rangepartitioning" not in plan
+    assert sorted((r.n, r.id) for r in rows) == [(n, f"id{k:05d}") for n, k in enumerate(kept, 1)]
+
+
 def tiles_by_hand(values, k):
     """The rule itself: the first n % k tiles hold one row more."""
     n = len(values)
@@ -89,6 +115,9 @@ def test_first_row_per_key_keeps_null_key_and_column_order(spark):
     first = grouping.first_row_per_key(df, "zip", ["lat", "city"])
     assert first.columns == df.columns
     assert {tuple(r) for r in first.collect()} == {(1.0, 10, "y"), (5.0, None, "z")}
+    # A hot key is cut to one row per task before it moves, and no aggregate sorts whole rows.
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and "SortAggregate" not in plan
 
 
 def test_quality_reports(spark):

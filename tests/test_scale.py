@@ -10,8 +10,9 @@ import pytest
 from compare import plan
 from pyspark.sql import functions as F
 
+from bazaarlens.model import STAR_SCHEMAS
 from bazaarlens.plans import cohort, customers, rfm, star
-from bazaarlens.sources import generated
+from bazaarlens.sources import generated, star_store
 from bazaarlens.workspace import shared_dir
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -96,3 +97,33 @@ def test_skewed_lookups_are_split(spark, make_mart):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_year_slice_opens_no_file_of_other_years(spark, make_mart, tmp_path):
+    facts = [
+        {"date_key": key, "customer_key": 1, "total_payment": n} for n, key in enumerate((20161231, 20170101, 20171231, 20180101, None))
+    ]
+    mart = make_mart(facts, date(2016, 12, 31), date(2018, 1, 1))
+    star_store.write_star(mart, str(tmp_path))
+    folders = sorted(path.name for path in (tmp_path / "fact_orders").iterdir() if path.is_dir())
+    assert [name.partition("=")[2][:6] for name in folders] == ["2016", "2017", "2018", "__HIVE"]
+    stored = star_store.read_star(spark, str(tmp_path))
+    assert stored.fact.count() == 5 and "order_year" not in star.enrich(stored).columns
+    for name in folders:
+        for path in (tmp_path / "fact_orders" / name).glob("*.parquet"):
+            if not name.endswith("2017"):
+                path.write_bytes(b"no parquet")
+    year = star.slice_mart(star_store.read_star(spark, str(tmp_path)), year=2017)
+    assert sorted(row.total_payment for row in year.fact.collect()) == [1, 2]
+    plan = year.fact._jdf.queryExecution().executedPlan().toString()
+    assert "(order_year" in plan[plan.index("PartitionFilters") :].split("]")[0]
+
+
+def test_a_star_read_back_is_stored_again_without_the_folder_column(spark, make_mart, tmp_path):
+    mart = make_mart([{"date_key": 20170101, "customer_key": 1, "total_payment": 1}], date(2017, 1, 1), date(2017, 1, 2))
+    star_store.write_star(mart, str(tmp_path / "a"))
+    star_store.write_star(star_store.read_star(spark, str(tmp_path / "a")), str(tmp_path / "b"))
+    again = star_store.read_star(spark, str(tmp_path / "b"))
+    assert [row.asDict() for row in again.fact.collect()] == [row.asDict() for row in star_store.read_star(spark, str(tmp_path / "a")).fact.collect()]
+    star_store.write_star(again, str(tmp_path / "c"), "csv")
+    assert star_store.read_star(spark, str(tmp_path / "c"), "csv").fact.columns == STAR_SCHEMAS["fact_orders"].names

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from bazaarlens.llm.common import map_texts
 
 UNDETERMINED = "und"
-#: Symbols of the alphabet: 0 everything but letters, 1 letters outside the alphabet, then the rest.
+#: Symbols: 0 everything but letters, from 2 on the letters of the alphabet. Letters outside of it share these by a
+#: hash, so that scripts beyond the alphabet are still told apart by their n-grams.
 SYMBOLS = 64
 _CODES = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 _BMP = 1 << 16
@@ -36,9 +37,16 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def hashed_symbols(points: np.ndarray) -> np.ndarray:
+    """The symbol of letters outside the alphabet: the upper bits of a product of the code point."""
+    mixed = (points.astype(np.uint64) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)
+    return ((mixed * np.uint64(SYMBOLS - 2)) >> np.uint64(32)).astype(np.uint8) + np.uint8(2)
+
+
 def symbol_table(alphabet: str) -> np.ndarray:
     """The symbol of every character of the basic plane."""
-    table = np.fromiter((chr(c).isalpha() for c in range(_BMP)), dtype=np.uint8, count=_BMP)
+    letters = np.fromiter((chr(c).isalpha() for c in range(_BMP)), dtype=bool, count=_BMP)
+    table = np.where(letters, hashed_symbols(np.arange(_BMP)), np.uint8(0))
     for i, letter in enumerate(alphabet[: SYMBOLS - 2]):
         table[ord(letter)] = i + 2
     return table
@@ -48,7 +56,7 @@ def ngram_codes(text: str, table: np.ndarray) -> np.ndarray:
     """The sorted different codes of the 1- to 3-grams of a text; runs of other characters are one."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
     symbols = table[np.minimum(points, _BMP - 1)]
-    symbols[points >= _BMP] = 1
+    symbols[points >= _BMP] = hashed_symbols(points[points >= _BMP])
     symbols = np.concatenate(([0], symbols, [0])).astype(np.int32)
     symbols = symbols[np.concatenate(([True], (symbols[1:] != 0) | (symbols[:-1] != 0)))]
     pairs = symbols[:-1] * SYMBOLS + symbols[1:]

@@ -301,6 +301,27 @@ def test_chats_fill_in_roles_and_cut_speakers(spark):
     assert chat.format_chats(df.limit(0), "conv_id", "turn", "role", "text").count() == 0
 
 
+def test_languages_of_many_scripts_are_told_apart():
+    rng = np.random.default_rng(8)
+    scripts = {"la": (0x61, 26), "el": (0x3B1, 25), "uk": (0x430, 32), "hy": (0x561, 38), "ka": (0x10D0, 33),
+               "za": (0x4E00, 800), "zb": (0x6000, 800), "zc": (0x6000, 800), "cu": (0x12000, 400)}
+    vocabulary = {
+        g: ["".join(chr(first + int(k)) for k in rng.integers(0, n, size=rng.integers(2, 5))) for _ in range(60)]
+        for g, (first, n) in scripts.items()
+    }
+
+    def text(g):
+        blank = "" if g.startswith("z") else " "
+        return blank.join(vocabulary[g][int(k)] for k in rng.integers(0, 60, size=40))
+
+    langs = [g for g in scripts for _ in range(40)]
+    model = language.fit([text(g) for g in langs], langs)
+    asked = [g for g in scripts for _ in range(30)]
+    found, scores = model.decide([text(g) for g in asked])
+    assert np.mean([a == b for a, b in zip(asked, found, strict=True)]) > 0.98
+    assert all(0 <= s <= 1 for s in scores)
+
+
 def test_given_roles_stand_and_names_are_evidence(spark):
     options = "Two options:\na: take the bus\nQuestion: which one do you like?"
     faq = "Q: why?\nA: so\nQ: when?\nA: now"

@@ -13,7 +13,8 @@ some stretches that are leaks would have no seed. Letters of scripts without bla
 
 All of it is DataFrame functions. The seeds of the test items are few and broadcast after their
 number is checked; above the bound the same join is left to the planner, as a shuffle. Only documents
-with hits are verified.
+with hits are verified: a bit map of fixed size over the digests of their texts, joined by broadcast,
+keeps other texts out of the shuffle that brings hits and documents together.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ MASKS = ("110100101001", "1110100011", "101011011")
 SHORT_MASKS = (("1111", 9, 10), ("111111", 11, 13))
 #: Seeds of test items that are broadcast: 24 bytes each, 48 MB at most.
 MOST_BROADCAST = 2_000_000
+#: Places of the bit map of texts with hits: 2 to this power, 64 in a row of 16 bytes, so at most 16 MB whatever the input.
+MAP_POWER = 26
 #: Points that make a leak, and what a different word costs.
 LEAST_POINTS, PENALTY = 10, 2
 #: Points per 100 words of the item that make a leak, too.
@@ -120,6 +123,29 @@ def best_stretch(document: Column, item: Column, shift: Column, penalty: int) ->
     return F.aggregate(same, start, step, lambda s: F.struct(s["points"].alias("points"), s["equal"].alias("equal")))
 
 
+def keep_wanted(rows: DataFrame, digest: Column, wanted: DataFrame, map_power: int = MAP_POWER) -> DataFrame:
+    """Rows whose ``digest`` may be among the values of the one column of ``wanted``, by a bit map of ``2**map_power`` places.
+
+    A wanted row always stays. Of the others few stay while the wanted values are fewer than the
+    places; with many more of them all rows stay, which costs more and is still right.
+    """
+
+    def row_of(value: Column) -> Column:
+        return F.pmod(F.shiftright(value, 6), F.lit(1 << (map_power - 6)))
+
+    def bit_of(value: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), value.bitwiseAND(F.lit(63)).cast("int"))
+
+    value = F.col(f"`{wanted.columns[0]}`")
+    places = (
+        wanted.filter(value.isNotNull())
+        .groupBy(row_of(value).alias("__place"))
+        .agg(F.bit_or(bit_of(value)).alias("__bits"))
+    )
+    near = rows.join(F.broadcast(places), row_of(digest) == F.col("__place"))
+    return near.filter(F.col("__bits").bitwiseAND(bit_of(digest)) != 0).drop("__place", "__bits")
+
+
 def find_leaks(
     df: DataFrame,
     id_col: str,
@@ -192,10 +218,12 @@ def find_leaks(
     wanted = hits.join(items, "item_id").select(
         F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "item_id", "item", "shift"
     )
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__digest"))
-    verified = rows.join(wanted, same).select(
-        "doc_id", "item_id", "item", "shift", word_hashes(F.col("text")).alias("document")
+    # The words of a document are hashed once, whatever the number of its hits.
+    near = keep_wanted(rows, F.xxhash64("text"), hits.select("digest")).select(
+        "doc_id", F.xxhash64("text").alias("digest"), word_hashes(F.col("text")).alias("document")
     )
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
+    verified = near.join(wanted, same)
     best = verified.select(
         "doc_id",
         "item_id",

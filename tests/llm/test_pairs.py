@@ -152,6 +152,18 @@ def test_leaks_of_short_items_equal_all_alignments(spark, texts):
     assert {i for _, i, _ in want} == set(items)
 
 
+def test_bit_map_keeps_all_wanted_rows_and_few_others(spark):
+    digest = F.xxhash64("id")
+    rows = spark.range(20000).withColumn("__id", F.lit("x"))
+    wanted = spark.range(0, 20000, 20).select(digest.alias("digest")).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    for power, most in ((20, 1040), (6, 20000)):
+        kept = {r["id"] for r in decontamination.keep_wanted(rows, digest, wanted, power).collect()}
+        assert set(range(0, 20000, 20)) <= kept and len(kept) <= most
+    assert decontamination.keep_wanted(rows, digest, wanted.limit(0)).count() == 0
+    edges = spark.createDataFrame([(v,) for v in (-(2**63), 2**63 - 1, -1, 0, 63, 64)], "digest bigint")
+    assert decontamination.keep_wanted(edges, F.col("digest"), edges).count() == 6
+
+
 def test_leaks_are_the_planted_ones(spark):
     got = {r["doc_id"] for r in QUERIES["op8_decontamination"](spark, "/root/testdata/sf0.01").collect()}
     words = lambda t: re.findall(r"\w+", (t or "").lower())

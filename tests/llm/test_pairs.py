@@ -152,6 +152,29 @@ def test_leaks_of_short_items_equal_all_alignments(spark, texts):
     assert {i for _, i, _ in want} == set(items)
 
 
+@pytest.mark.parametrize("rate", [0.05, 0.15, 0.3])
+def test_recall_of_long_items_with_replaced_words(rate):
+    """Of random leaks of items of 25 to 200 words, the share with a seed. It is not one in every case: see the last one."""
+    rng = np.random.default_rng(7)
+
+    def points(equal):
+        now = best = 0
+        for e in equal:
+            now = max(0, now + (1 if e else -decontamination.PENALTY))
+            best = max(best, now)
+        return best
+
+    def has_seed(equal):
+        text = "".join("1" if e else "0" for e in equal)
+        return any(re.search(m.replace("0", "."), text) for m in decontamination.MASKS)
+
+    drawn = [rng.random(rng.integers(25, 200)) >= rate for _ in range(1500)]
+    leaks = [equal for equal in drawn if points(equal) >= decontamination.LEAST_POINTS]
+    assert len(leaks) > 1000 and sum(map(has_seed, leaks)) >= 0.99 * len(leaks)
+    lost = [c == "1" for c in "1111111100101110011111111"]
+    assert points(lost) >= decontamination.LEAST_POINTS and not has_seed(lost)
+
+
 def test_bit_map_keeps_all_wanted_rows_and_few_others(spark):
     digest = F.xxhash64("id")
     rows = spark.range(20000).withColumn("__id", F.lit("x"))

@@ -171,14 +171,45 @@ def page_blocks(page: str) -> tuple[list[str], list[str]]:
     return [text for text, content in blocks if content], [text for text, content in blocks if not content]
 
 
+def suffix_array(stream: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the stream in the order of their suffixes, and whether a suffix shares ``depth`` tokens with the one before.
+
+    Suffixes are ranked by twice as many tokens per round until no two ranks are equal. The stream
+    must end in a token of its own.
+    """
+    size = len(stream)
+    rank = np.unique(np.array(stream, dtype=np.int64), return_inverse=True)[1].astype(np.int64) + 1
+
+    def paired(shift: int) -> np.ndarray:
+        later = np.zeros(size, dtype=np.int64)
+        later[: max(0, size - shift)] = rank[shift:]
+        return np.unique(rank * (size + 1) + later, return_inverse=True)[1].astype(np.int64) + 1
+
+    width = 1
+    while width < depth:
+        # The last step up to ``depth`` overlaps, so that these ranks compare as many tokens exactly.
+        shift = min(width, depth - width)
+        rank = paired(shift)
+        width += shift
+    shallow = rank
+    while size and rank.max() < size:
+        rank = paired(width)
+        width *= 2
+    order = np.argsort(rank)
+    alike = np.concatenate(([False], shallow[order][1:] == shallow[order][:-1]))[:size]
+    return order, alike
+
+
 def repeated_tokens(
     pages: list[list[list[str]]], run: int, elsewhere: list[np.ndarray] | None = None
 ) -> list[list[np.ndarray]]:
     """For every page, block and token: is it in a run of ``run`` or more tokens that another page has, too?
 
-    The suffixes of the concatenated streams are ranked by doubling until ranks tell ``run`` tokens
-    apart. Streams end with a mark of their own, so no run crosses two pages. ``elsewhere`` names for
-    every page the first tokens of runs that are known from pages outside of ``pages``.
+    The streams are concatenated and their suffixes put in order. Neighbours that share ``run`` tokens
+    are a repeat, and one of two pages is boilerplate. Every place of a longer repeat begins a repeat or
+    is covered by one, so repeats are marked in their whole length. Streams end with a mark of their own,
+    so no run crosses two pages. ``elsewhere`` names for every page the first tokens of runs that are
+    known from pages outside of ``pages``.
     """
     ids: dict[str, int] = {}
     stream: list[int] = []
@@ -189,26 +220,11 @@ def repeated_tokens(
             owner.extend([p] * len(block))
         stream.append(-1 - p)
         owner.append(p)
-    rank = np.unique(np.array(stream, dtype=np.int64), return_inverse=True)[1].astype(np.int64) + 1
-    size = len(rank)
-
-    def paired(width: int, shift: int) -> np.ndarray:
-        later = np.zeros(size, dtype=np.int64)
-        if shift < size:
-            later[: size - shift] = width_rank[shift:]
-        return np.unique(width_rank * (size + 1) + later, return_inverse=True)[1].astype(np.int64) + 1
-
-    width_rank, width = rank, 1
-    while width < run:
-        # The last step overlaps, so that ranks compare ``run`` tokens exactly.
-        shift = min(width, run - width)
-        width_rank = paired(width, shift)
-        width += shift
-    owners = np.array(owner, dtype=np.int64)
-    order = np.lexsort((owners, width_rank))
-    groups = width_rank[order]
-    starts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
-    several = owners[order][starts] != owners[order][np.concatenate((starts[1:], [size])) - 1]
+    size = len(stream)
+    order, alike = suffix_array(stream, run)
+    starts = np.flatnonzero(~alike)
+    owners = np.array(owner, dtype=np.int64)[order]
+    several = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts) if size else np.zeros(0, dtype=bool)
     shared = np.zeros(size, dtype=bool)
     shared[order] = np.repeat(several, np.diff(np.concatenate((starts, [size]))))
     begin = 0

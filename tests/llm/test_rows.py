@@ -274,6 +274,18 @@ def test_open_pages_that_share_an_id_or_have_none_keep_their_own_text(spark, gro
     assert Counter(tuple(r) for r in got) == want
 
 
+def test_suffixes_are_put_in_order_to_their_ends():
+    """Also where they share more tokens than a run has."""
+    rng = np.random.default_rng(3)
+    for depth in (1, 2, 6):
+        for size in (0, 1, 5, 60):
+            stream = [int(t) for t in np.tile(rng.integers(0, 2, size=size), 2)] + [-1]
+            order, alike = html_pages.suffix_array(stream, depth)
+            assert order.tolist() == sorted(range(len(stream)), key=lambda at: stream[at:])
+            pairs = zip([None, *order.tolist()], order.tolist())
+            assert alike.tolist() == [b is not None and stream[b : b + depth] == stream[at : at + depth] for b, at in pairs]
+
+
 def test_repeated_tokens_equal_all_windows():
     rng = np.random.default_rng(2)
     for run in (2, 3, 5):

@@ -8,10 +8,11 @@ from pathlib import Path
 
 import pytest
 from compare import plan
+from conftest import money
 from pyspark.sql import functions as F
 
 from bazaarlens.model import STAR_SCHEMAS
-from bazaarlens.plans import cohort, customers, rfm, star
+from bazaarlens.plans import build, cohort, customers, rfm, star
 from bazaarlens.sources import generated, star_store
 from bazaarlens.workspace import shared_dir
 
@@ -127,3 +128,26 @@ def test_a_star_read_back_is_stored_again_without_the_folder_column(spark, make_
     assert [row.asDict() for row in again.fact.collect()] == [row.asDict() for row in star_store.read_star(spark, str(tmp_path / "a")).fact.collect()]
     star_store.write_star(again, str(tmp_path / "c"), "csv")
     assert star_store.read_star(spark, str(tmp_path / "c"), "csv").fact.columns == STAR_SCHEMAS["fact_orders"].names
+
+
+def test_lines_are_sent_once_and_grouped_where_they_arrive(spark):
+    """Grouped inside the reading task, lines of scattered orders fill its memory and spill."""
+    lines = spark.createDataFrame(
+        [(i % 7, i % 3, f"p{i}", f"s{i}", money(i), money(1), "card" if i % 2 else None, 2, i % 5 + 1) for i in range(50)],
+        "order_id int, order_item_id int, product_id string, seller_id string, price decimal(18,2), freight_value decimal(18,2),"
+        " payment_type string, payment_installments int, review_score int",
+    ).withColumn("payment_value", F.col("price"))
+    for grouped in (build.items_per_order(lines), build.payments_per_order(lines), build.reviews_per_order(lines)):
+        text = grouped._jdf.queryExecution().executedPlan().toString()
+        assert "ObjectHashAggregate" not in text and text.count("Exchange hashpartitioning") == 1
+        # Printed from the result down to the scan: nothing is grouped below the exchange.
+        assert "Aggregate" not in text[text.index("Exchange hashpartitioning") :]
+    paid = {row.order_id: row for row in build.payments_per_order(lines).collect()}
+    assert {k: (row.total_payment, row.payment_type) for k, row in paid.items()} == {k: (money(sum(range(k, 50, 7))), "card") for k in range(7)}
+
+
+def test_the_most_frequent_payment_type_of_counted_rows(spark):
+    rows = [(1, "b"), (1, "a"), (1, None), (1, None), (2, "b"), (2, "b"), (2, "a"), (3, None), (None, "c")]
+    payments = spark.createDataFrame([(k, t, 1, None) for k, t in rows], "order_id int, payment_type string, payment_installments int, payment_value decimal(18,2)")
+    got = {row.order_id: (row.payment_type, row.total_payment) for row in build.payments_per_order(payments).collect()}
+    assert got == {1: ("a", money(0)), 2: ("b", money(0)), 3: (None, money(0)), None: ("c", money(0))}

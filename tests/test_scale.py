@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import replace
 from datetime import date
+from itertools import product
 from pathlib import Path
 
 import pytest
@@ -12,7 +14,7 @@ from conftest import money
 from pyspark.sql import functions as F
 
 from bazaarlens.model import STAR_SCHEMAS
-from bazaarlens.plans import build, cohort, customers, rfm, star
+from bazaarlens.plans import build, cohort, cube, customers, rfm, star
 from bazaarlens.sources import generated, star_store
 from bazaarlens.workspace import shared_dir
 
@@ -151,3 +153,22 @@ def test_the_most_frequent_payment_type_of_counted_rows(spark):
     payments = spark.createDataFrame([(k, t, 1, None) for k, t in rows], "order_id int, payment_type string, payment_installments int, payment_value decimal(18,2)")
     got = {row.order_id: (row.payment_type, row.total_payment) for row in build.payments_per_order(payments).collect()}
     assert got == {1: ("a", money(0)), 2: ("b", money(0)), 3: (None, money(0)), None: ("c", money(0))}
+
+
+def test_a_customer_is_sent_once_for_all_slices(spark, make_mart, monkeypatch):
+    monkeypatch.setattr(cube, "_ROWS_AT_ONCE", 2)
+    facts = [{"date_key": 20170101 + i % 2 * 10_000, "customer_key": i % 5 or None, "product_key": 1} for i in range(23)]
+    mart = make_mart(
+        facts, date(2017, 1, 1), date(2018, 1, 2),
+        customers=[{"customer_key": i, "state": "SP" if i % 2 else None} for i in range(1, 5)], products=[{"product_key": 1}],
+    )
+    wide = cube._with_attributes(mart)
+    buyers = cube._buyers(cube._orders_per_customer(wide))
+    text = buyers._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in text and "Expand" not in cube._cells(wide)._jdf.queryExecution().executedPlan().toString()
+    want = Counter()
+    known = [(f["date_key"] // 10_000, None, "SP" if f["customer_key"] % 2 else None, f["customer_key"]) for f in facts if f["customer_key"]]
+    for pick in product((False, True), repeat=3):
+        orders = Counter((*[None if at_all else v for at_all, v in zip(pick, key)], *pick, key[3]) for key in known)
+        want.update((*key[:6], n) for key, n in orders.items())
+    assert {tuple(row[:7]): row.customers for row in buyers.collect()} == dict(want)

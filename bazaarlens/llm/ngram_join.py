@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import map_texts
+from bazaarlens.llm.common import bounded_slices, map_texts, short_batches
 from bazaarlens.llm.components import connected_components
 from bazaarlens.operators.ranking import dense_index
 from bazaarlens.workspace import materialize, release
@@ -41,8 +41,10 @@ FEW = 32
 GROUP = 128
 #: How many shingles two linked sets share among those posted: at first, and in percent of a set later.
 AT_FIRST, LATER_PERCENT = 8, 30
-#: Bits of the filter that keeps texts of no interest out of a shuffle: half a megabyte, whatever the input.
-_BITS = 1 << 22
+#: Bits for a set in the filter that keeps texts of no interest out of a shuffle, and bits in all: 16 MB at most.
+_BITS_PER_SET, _FEWEST_BITS, _MOST_BITS = 16, 1 << 22, 1 << 27
+#: Shingles that a task posts at once.
+_POSTED_AT_ONCE = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -127,33 +129,47 @@ def _least_overlap(n: Column, m: Column, percent: int) -> Column:
 _POSTED = "token bigint, sid bigint, n int, common int"
 
 
-def _post(few: int):
+Batches = Iterator[pa.RecordBatch]
+
+
+def _post(few: int, most: int = _POSTED_AT_ONCE):
     """Rows of a task: each set posts its shingles.
 
-    Within the task, equal sets post once, and a shingle of more than ``few`` sets is cut to one row
-    without a set that calls it common; the sets then get a row each with the number of such shingles.
+    About ``most`` shingles are taken at once. Within them, equal sets post once, and a shingle of more
+    than ``few`` sets is cut to one row without a set that calls it common; the sets then get a row each
+    with the number of such shingles.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sids, sizes = [], [], []
+    def run(batches: Batches) -> Batches:
+        held, count = [], 0
         for batch in batches:
-            for sid, n, shingles in zip(
-                batch.column("sid").to_pylist(), batch.column("n").to_pylist(), batch.column("shingles"), strict=True
-            ):
-                own = shingles.values.to_numpy(zero_copy_only=False)
-                tokens.append(own)
-                sids.append(np.full(len(own), sid))
-                sizes.append(np.full(len(own), n, dtype=np.int32))
-        if not tokens:
-            return
-        token, sid, n = np.concatenate(tokens), np.concatenate(sids), np.concatenate(sizes)
-        del tokens, sids, sizes
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                held.append(opened(part))
+                count += len(held[-1][0])
+                if count >= most:
+                    yield from posted(held)
+                    held, count = [], 0
+        if count:
+            yield from posted(held)
+
+    def opened(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Shingles, with the id and the size of their set."""
+        shingles = part.column("shingles")
+        each = shingles.value_lengths().to_numpy(zero_copy_only=False)
+        sid, n = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), each) for c in ("sid", "n"))
+        return shingles.flatten().to_numpy(zero_copy_only=False), sid, n
+
+    def posted(held: list[tuple[np.ndarray, ...]]) -> Batches:
+        token, sid, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         order = np.lexsort((n, sid, token))
         token, sid, n = token[order], sid[order], n[order]
+        del order
         new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1]) | (n[1:] != n[:-1])
         token, sid, n = token[new], sid[new], n[new]
-        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, int)
+        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         counts = np.diff(np.concatenate((starts, [len(token)])))
         many = np.repeat(counts > few, counts)
         yield from _rows(token[~many], sid[~many], n[~many], np.zeros((~many).sum(), dtype=np.int32))
@@ -293,62 +309,83 @@ def _bounded(pairs: DataFrame, common: DataFrame, percent: int, unposted) -> Dat
     return known.filter(most >= _least_overlap(F.col("na"), F.col("nb"), percent))
 
 
-def _bitmap(sids: DataFrame) -> np.ndarray:
-    """A bitmap of hashed set ids of fixed size."""
-    place = (F.pmod(F.col("sid"), F.lit(_BITS)) + 1).alias("place")
-    parts = sids.select(place).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(
+def _bits(sets: int) -> int:
+    """Bits of a filter that few of ``sets`` sets pass by chance, as long as that takes less than the most bits."""
+    return min(_MOST_BITS, max(_FEWEST_BITS, 1 << (sets * _BITS_PER_SET - 1).bit_length()))
+
+
+def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of ``key``, numbers spread like hashes."""
+    place = (F.pmod(F.col("key"), F.lit(bits)) + 1).alias("place")
+    parts = keys.select(place).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
     )
-    found = np.zeros(_BITS // 8, dtype=np.uint8)
+    found = np.zeros(bits // 8, dtype=np.uint8)
     for row in parts.collect():
-        bits = np.frombuffer(row["bits"], dtype=np.uint8)
-        found[(row["part"] - 1) * len(bits) : row["part"] * len(bits)] = bits
+        part = np.frombuffer(row["bits"], dtype=np.uint8)
+        found[(row["part"] - 1) * len(part) : row["part"] * len(part)] = part
     return found
 
 
-def _sets_of(rows: DataFrame, wanted: DataFrame, words: int, posted) -> DataFrame:
-    """``doc_id, sid, n, shingles`` of the texts whose set is wanted, and of few others; ``posted(n)`` first shingles."""
-    bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+_SETS = "doc_id bigint, sid bigint, n int, shingles array<bigint>"
+_WHOLE = f"{_SETS}, core boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+
+def _wanted_sets(wanted: DataFrame, bits: int, words: int, posted, core: DataFrame | None = None):
+    """From ``doc_id, text``: ``doc_id, sid, n, shingles`` of the texts whose set is wanted, and of few others.
+
+    Of each set come its ``posted(n)`` first shingles. With ``core``, both tables have ``doc_id``, too, which
+    must be the wanted one, and ``core`` tells the sets of that table and few others.
+    """
+    by_id = core is not None
+    key = F.col("sid").bitwiseXOR(F.col("doc_id")) if by_id else F.col("sid")
+    share = wanted.sparkSession.sparkContext.broadcast
+    maps = [share(_bitmap(x.select(key.alias("key")), bits)) for x in ((wanted, core) if by_id else (wanted,))]
+
+    def run(batches: Batches) -> Batches:
+        held = [x.value for x in maps]
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
+            for part in bounded_slices(batch, "text", 512):
                 ids, found = [], []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     shingles = shingle_set(text or "", words)
+                    if doc_id is None or not len(shingles):
+                        continue
                     sid = set_digest(shingles)
-                    place = sid % _BITS
-                    if doc_id is not None and len(shingles) and bits[place >> 3] >> (place & 7) & 1:
-                        ids.append((doc_id, sid, len(shingles)))
+                    place = (sid ^ doc_id if by_id else sid) % bits
+                    known = [bool(x[place >> 3] >> (place & 7) & 1) for x in held]
+                    if known[0]:
+                        ids.append((doc_id, sid, len(shingles), *known[1:]))
                         found.append(shingles[: posted(len(shingles))])
-                columns = [pa.array([x[k] for x in ids], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "sid", "n", "shingles"]
-                )
+                names = ["doc_id", "sid", "n", *["core"][: len(maps) - 1]]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+                columns = [pa.array([x[k] for x in ids], kinds[k]) for k in range(len(names))]
+                columns.insert(3, pa.array(found, pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names=[*names[:3], "shingles", *names[3:]])
 
-    return rows.mapInArrow(run, "doc_id bigint, sid bigint, n int, shingles array<bigint>")
+    return run
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
+    """``rep_a, rep_b`` of the pairs whose whole sets are similar enough."""
     sides = [
-        whole.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("shingles").alias(f"set_{s}")) for s in "ab"
-    ]
-    joined = pairs.select("a", "na", "b", "nb").join(sides[0], ["a", "na"]).join(sides[1], ["b", "nb"])
+        whole.select(
+            F.col("doc_id").alias(f"rep_{s}"), F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("shingles").alias(f"set_{s}")
+        )
+        for s in "ab"
+    ]
+    joined = pairs.join(sides[0], ["rep_a", "a", "na"]).join(sides[1], ["rep_b", "b", "nb"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             sets = [
                 [x.values.to_numpy(zero_copy_only=False) for x in batch.column(f"set_{s}")] for s in "ab"
             ]
             kept = pa.array([similar(x, y, percent) for x, y in zip(*sets, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).filter(kept) for c in ("a", "na", "b", "nb")], names=["a", "na", "b", "nb"]
-            )
+            names = ["rep_a", "rep_b"]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in names], names=names)
 
-    return joined.mapInArrow(run, "a bigint, na int, b bigint, nb int")
+    return joined.select("rep_a", "rep_b", "set_a", "set_b").mapInArrow(run, "rep_a bigint, rep_b bigint")
 
 
 def open_groups(
@@ -471,7 +508,7 @@ def near_duplicates(
     is linked with nothing, and so is a row with a null id, whose component is null. Rows that share
     an id are one document for links. Ids must be whole numbers; an empty table has no rows.
     """
-    rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = short_batches(df).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
     def describe(texts: list[str]) -> dict[str, list]:
         sets = [shingle_set(t, words) for t in texts]
@@ -486,6 +523,7 @@ def near_duplicates(
     sets = materialize(posted.select("doc_id", "n", "sid"), "ids")
     full = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(full.groupBy("sid", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    bits = _bits(classes.count())
 
     def part(n: Column) -> Column:
         return _part(n, percent)
@@ -506,41 +544,45 @@ def near_duplicates(
         bounded.filter(~(crowded(F.col("ca"), F.col("na")) & crowded(F.col("cb"), F.col("nb")))).select("a", "na", "b", "nb"),
         "light",
     )
-    crowd = _sets_of(rows, common.filter(crowded(F.col("common"), F.col("n"))), words, lambda n: later_posted(n, percent))
+    crowd = common.filter(crowded(F.col("common"), F.col("n")))
+    crowd_sets = _wanted_sets(crowd, bits, words, lambda n: later_posted(n, percent))
     release(met)
-    more, common, met = _candidates(crowd.select("sid", "n", "shingles"), percent, few, "crowd")
-    rare = materialize(
-        _bounded(more, common, percent, lambda n: part(n) - later(n)).select("a", "na", "b", "nb").unionByName(light), "rare"
-    )
+    more, common, met = _candidates(rows.mapInArrow(crowd_sets, _SETS).select("sid", "n", "shingles"), percent, few, "crowd")
+    names = [classes.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("rep").alias(f"rep_{s}")) for s in "ab"]
+
+    def named(pairs: DataFrame) -> DataFrame:
+        """With the documents that stand for both classes."""
+        return pairs.join(names[0], ["a", "na"]).join(names[1], ["b", "nb"])
+
+    bounded = _bounded(more, common, percent, lambda n: part(n) - later(n)).select("a", "na", "b", "nb")
+    rare = materialize(named(bounded.unionByName(light)), "rare")
     release(light)
     # A partner has at least the least part of the shingles, and posts accordingly.
     core = common.filter(F.col("common") >= later(part(F.col("n")))).select("sid", "n")
+    core = materialize(core.join(classes.withColumnRenamed("rep", "doc_id"), ["sid", "n"]), "core")
+    release(met)
 
-    wanted = (
-        core.unionByName(rare.select(F.col("a").alias("sid"), F.col("na").alias("n")))
-        .unionByName(rare.select(F.col("b").alias("sid"), F.col("nb").alias("n")))
-        .distinct()
-        .join(classes.withColumnRenamed("rep", "doc_id"), ["sid", "n"])
-    )
-    exact = _sets_of(rows, wanted, words, lambda n: n).join(wanted, ["sid", "n", "doc_id"], "left_semi")
+    wanted = core.select("sid", "doc_id")
+    for s in "ab":
+        wanted = wanted.unionByName(rare.select(F.col(s).alias("sid"), F.col(f"rep_{s}").alias("doc_id")))
+    # Whole sets stay where their texts lie. The steps below look for them by class and document, so those that
+    # passed a filter by chance fall out there.
+    exact = rows.mapInArrow(_wanted_sets(wanted, bits, words, lambda n: n, core), _WHOLE)
     ids = sets.agg(F.count("doc_id").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
     if ids["rows"] > ids["ids"]:
-        exact = exact.dropDuplicates(["sid", "n"])
-    whole = materialize(exact.select("sid", "n", "shingles"), "whole")
-    matrix_links, numbered = _matrix_links(whole.join(core, ["sid", "n"], "left_semi"), percent, group)
-    links = _verified(rare, whole, percent).unionByName(matrix_links)
-
-    names = [classes.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("rep").alias(f"rep_{s}")) for s in "ab"]
-    edges = links.join(names[0], ["a", "na"]).join(names[1], ["b", "nb"]).select(
-        F.col("rep_a").alias("a"), F.col("rep_b").alias("b")
-    )
+        exact = exact.dropDuplicates(["doc_id", "sid", "n"])
+    whole = materialize(exact, "whole")
+    crowded_sets = whole.filter("core").join(core, ["sid", "n", "doc_id"], "left_semi").select("sid", "n", "shingles")
+    matrix_links, numbered = _matrix_links(crowded_sets, percent, group)
+    links = _verified(rare, whole, percent).unionByName(named(matrix_links).select("rep_a", "rep_b"))
+    edges = links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     # A document with several texts links the classes of all of them.
     if ids["rows"] > ids["ids"]:
         edges = edges.unionByName(
             full.join(classes, ["sid", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
         )
     found = connected_components(edges)
-    release(met, rare, whole, numbered)
+    release(core, rare, whole, numbered)
     return (
         sets.join(classes, ["sid", "n"], "left")
         .join(found, F.col("rep") == F.col("node"), "left")

@@ -7,13 +7,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from bazaarlens.llm import decontamination, ngram_join, quality, secrets, spotsigs
-from bazaarlens.llm.common import fold
+from bazaarlens.llm.common import MOST_BYTES, fold, short_batches
 from bazaarlens.llm.components import connected_components
 from bazaarlens.llm.queries import QUERIES
 from bazaarlens.llm.statements import STATEMENTS
@@ -66,6 +67,73 @@ def test_near_duplicates_equal_brute_force(texts, few, group):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(rows)
 
 
+def posted_rows(few, most, sets):
+    """What sets ``sid, shingles`` post, and how many batches of them were read before the first row came."""
+    read = []
+
+    def batches():
+        for sid, own in sets:
+            read.append(sid)
+            columns = [pa.array([sid]), pa.array([len(own)], pa.int32()), pa.array([own], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["sid", "n", "shingles"])
+
+    found, first = [], None
+    for batch in ngram_join._post(few, most=most)(batches()):
+        first = first or len(read)
+        found += [tuple(r.values()) for r in batch.to_pylist()]
+    return found, first
+
+
+def test_posting_holds_a_bounded_number_of_shingles():
+    sets = [(sid, list(range(10 * sid, 10 * sid + 20))) for sid in range(100)]
+    bounded, first = posted_rows(4, 200, sets)
+    assert first == 10
+    whole, first = posted_rows(4, 1 << 20, sets)
+    assert first == 100 and sorted(bounded, key=str) == sorted(whole, key=str)
+    # A shingle of all sets is cut once per part; the sets say how many such shingles they have.
+    line = [(sid, [7]) for sid in range(30)]
+    assert sorted(posted_rows(4, 10, line)[0], key=str) == sorted([(7, None, 0, 1)] * 3 + [(None, i, 1, 1) for i in range(30)], key=str)
+
+
+def test_filter_of_wanted_sets_grows_with_them():
+    assert ngram_join._bits(1000) == 1 << 22
+    assert ngram_join._bits(10**6) == 1 << 24
+    assert ngram_join._bits(10**10) == 1 << 27
+
+
+def test_whole_sets_of_one_document_per_class(spark, texts):
+    """Copies of a wanted text are left where they are: their whole sets are not stored or sent."""
+    rows = [(i, "one two three four five six") for i in range(50)] + [(50, "other words than those above, all of them")]
+    sids = [ngram_join.set_digest(ngram_join.shingle_set(t)) for _, t in (rows[0], rows[50])]
+    wanted = spark.createDataFrame([(sids[0], 3), (sids[1], 50)], "sid bigint, doc_id bigint")
+    core = wanted.filter("doc_id = 50")
+    run = ngram_join._wanted_sets(wanted, 1 << 22, 5, lambda n: n, core)
+    found = texts(rows).select("doc_id", "text").mapInArrow(run, ngram_join._WHOLE).collect()
+    assert {(r["doc_id"], r["sid"], r["n"], len(r["shingles"]), r["core"]) for r in found} == {
+        (3, sids[0], 2, 2, False), (50, sids[1], 4, 4, True)
+    }
+
+
+def test_workers_get_short_batches(spark, texts):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        rows = texts([(i, "x") for i in range(40)]).select("doc_id", F.repeat("text", 1 << 20).alias("text")).coalesce(1)
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+        got = [r["size"] for r in short_batches(rows).mapInArrow(sizes, "size bigint").collect()]
+        assert len(got) > 1 and max(got) < MOST_BYTES + (2 << 20)
+        spark.conf.set(key, "1m")
+        short_batches(rows)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = ngram_join.near_duplicates(odd, "doc_id", "text").collect()
     assert len(rows) == len(ODD)

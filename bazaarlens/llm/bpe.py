@@ -7,7 +7,8 @@ result. At every join they are put together, over as many chunks as it takes unt
 white space, and that word is encoded anew. The pre-tokenizer drops white space and never looks
 across it, so from there on the two sides agree exactly with an encoding of the whole text.
 
-Chunks and words are kept per worker, in tables bounded by their bytes; those used last stay. To share them between workers would move
+Chunks and words are kept per worker, in tables bounded by their bytes; those used last stay. They go when another
+step takes over the worker. To share them between workers would move
 every chunk through a shuffle, which costs more than it saves.
 """
 
@@ -16,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import os
 from dataclasses import dataclass
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bazaarlens.llm.common import map_texts
+from bazaarlens.llm.common import kept_in_worker, map_texts
 
 _WINDOW = 32
 _BLANKS = b" \t\n\r\x0b\x0c"
@@ -184,11 +184,6 @@ class ChunkEncoder:
 _BLANK_SET = frozenset(bytes([b]) for b in _BLANKS)
 
 
-@lru_cache(maxsize=1)
-def _encoder(definition: str) -> ChunkEncoder:
-    return ChunkEncoder(definition)
-
-
 def encode_texts(
     df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, kept: tuple[str, ...] = (), whole: bool = False
 ) -> DataFrame:
@@ -199,10 +194,12 @@ def encode_texts(
     be a JSON definition whose pre-tokenizer drops white space; it is read on the driver and sent along.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
-        definition = df.sparkSession.sparkContext.broadcast(file.read())
+        text = file.read()
+    definition = df.sparkSession.sparkContext.broadcast(text)
+    name = f"bpe {hashlib.sha256(text.encode()).hexdigest()}"
 
     def encode(texts: list[str]) -> dict[str, list]:
-        found = _encoder(definition.value).encode(texts)
+        found = kept_in_worker(name, lambda: ChunkEncoder(definition.value)).encode(texts)
         digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         out = {
             "n_tokens": [e.count for e in found],
@@ -214,4 +211,4 @@ def encode_texts(
     added = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
     added |= {"ids": "string"} if whole else {}
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept)
-    return map_texts(rows, ["doc_id", *kept], encode, added, rows_at_once=512)
+    return map_texts(rows, ["doc_id", *kept], encode, added, rows_at_once=512, keeps=name)

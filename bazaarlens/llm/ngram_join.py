@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import bounded_slices, map_texts, short_batches
+from bazaarlens.llm.common import bounded_slices, leave_to, map_texts, short_batches
 from bazaarlens.llm.components import connected_components
 from bazaarlens.operators.ranking import dense_index
 from bazaarlens.workspace import materialize, release
@@ -141,6 +141,7 @@ def _post(few: int, most: int = _POSTED_AT_ONCE):
     """
 
     def run(batches: Batches) -> Batches:
+        leave_to(None)
         held, count = [], 0
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
@@ -343,6 +344,7 @@ def _wanted_sets(wanted: DataFrame, bits: int, words: int, posted, core: DataFra
     maps = [share(_bitmap(x.select(key.alias("key")), bits)) for x in ((wanted, core) if by_id else (wanted,))]
 
     def run(batches: Batches) -> Batches:
+        leave_to(None)
         held = [x.value for x in maps]
         for batch in batches:
             for part in bounded_slices(batch, "text", 512):

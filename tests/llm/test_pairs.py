@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from bazaarlens.llm import decontamination, ngram_join, quality, secrets, spotsigs
-from bazaarlens.llm.common import MOST_BYTES, fold, short_batches
+from bazaarlens.llm import bpe, decontamination, ngram_join, quality, secrets, spotsigs
+from bazaarlens.llm.common import MOST_BYTES, fold, kept_in_worker, map_texts, short_batches
 from bazaarlens.llm.components import connected_components
 from bazaarlens.llm.queries import QUERIES
 from bazaarlens.llm.statements import STATEMENTS
@@ -134,6 +134,26 @@ def test_workers_get_short_batches(spark, texts):
         spark.conf.set(key, before)
 
 
+def test_workers_drop_what_another_step_kept(texts):
+    """One worker takes all tasks in turn: a step finds its own state again, and nothing of the step before."""
+    rows = texts([(i, "x") for i in range(4)]).repartition(1)
+
+    def step(name):
+        def compute(found):
+            from bazaarlens.llm import common
+
+            kept_in_worker(name, list).append(1)
+            held = sorted(common._KEPT)
+            return {"held": [",".join(held)] * len(found), "times": [len(common._KEPT[name])] * len(found)}
+
+        return map_texts(rows, ["doc_id"], compute, {"held": "string", "times": "bigint"}, keeps=name).collect()
+
+    assert {r["held"] for r in step("one")} == {"one"}
+    assert {r["held"] for r in step("two")} == {"two"}
+    held = bpe.encode_texts(rows, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert len(held) == 4 and {r["held"] for r in step("two")} == {"two"}
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = ngram_join.near_duplicates(odd, "doc_id", "text").collect()
     assert len(rows) == len(ODD)

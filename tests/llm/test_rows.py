@@ -179,6 +179,46 @@ def test_shared_chunks_are_encoded_once(definition):
     assert encoder.encoded_bytes - before < 40
 
 
+def test_words_go_to_the_tokenizer_many_at_once_and_come_back_apart(definition):
+    class Counted:
+        """The tokenizer, with the number of texts that it got."""
+
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, 0
+
+        def __getattr__(self, name):
+            def call(texts, **options):
+                self.texts += len(texts)
+                return getattr(self.tokenizer, name)(texts, **options)
+
+            return call
+
+    tokenizer = Tokenizer.from_str(definition)
+    rng = np.random.default_rng(11)
+    marks = ["\u0301x", "\u3000", "\x1c", "\x85a", "\u1112\u1161\u11ab", "İ", "a<|endoftext|>b", "\U0001f600'S", "\u200d"]
+    words = [f"word{i}s." for i in range(3000)] + marks * 20
+    texts = [" ".join(rng.choice(words, size=700)) for _ in range(20)]
+    encoder = bpe.ChunkEncoder(definition, mean_bytes=64)
+    encoder._tokenizer = counted = Counted(encoder._tokenizer)
+    found = encoder.encode(texts)
+    assert 0 < counted.texts < 100
+    for text, got in zip(texts, found, strict=True):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert (got.count, got.ids) == (len(ids), " ".join(map(str, ids)))
+        assert got.tokens == tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def test_small_tables_of_the_encoder_change_no_result(definition, monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 500, size=400)) + "\n" for _ in range(30)] + ["", "y" * 500, " \t "]
+    expected = bpe.ChunkEncoder(definition).encode(texts)
+    monkeypatch.setattr(bpe, "_CUT_AT_ONCE", 300)
+    encoder = bpe.ChunkEncoder(definition, mean_bytes=64, most_bytes=5000, most_word_bytes=2000)
+    assert [e for i in range(0, len(texts), 4) for e in encoder.encode(texts[i : i + 4])] == expected
+    assert len(encoder._older_words.words)
+    assert all(t.words.nbytes + t.ids.nbytes < 2000 + 5000 for t in (encoder._words, encoder._older_words))
+
+
 def test_bpe_of_odd_rows(odd, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = bpe.encode_texts(odd, "doc_id", "text", path).collect()

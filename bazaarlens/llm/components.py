@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bazaarlens.llm.common import tidied
 from bazaarlens.workspace import materialize, release
 
 
@@ -40,7 +41,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     the rounds end: after about the logarithm of the longest path, squared at worst.
     """
     edges = links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).filter("a <> b")
-    edges = materialize(edges.mapInArrow(_forest, "a bigint, b bigint").distinct(), "links")
+    edges = materialize(edges.mapInArrow(tidied(_forest), "a bigint, b bigint").distinct(), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

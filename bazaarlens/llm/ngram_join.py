@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.common import bounded_slices, leave_to, map_texts, short_batches
+from bazaarlens.llm.common import bounded_slices, leave_to, map_texts, short_batches, tidied
 from bazaarlens.llm.components import connected_components
 from bazaarlens.operators.ranking import dense_index
 from bazaarlens.workspace import materialize, release
@@ -290,9 +290,9 @@ def _candidates(sets: DataFrame, percent: int, few: int, label: str) -> tuple[Da
 
     Last comes the stored table of both.
     """
-    posted = sets.mapInArrow(_post(few), _POSTED)
+    posted = sets.mapInArrow(tidied(_post(few)), _POSTED)
     by_token = posted.repartition(F.coalesce("token", "sid")).sortWithinPartitions("token")
-    gathered = by_token.mapInArrow(_gather(percent, few), _FOUND)
+    gathered = by_token.mapInArrow(tidied(_gather(percent, few)), _FOUND)
     found = materialize(gathered.groupBy("a", "na", "b", "nb").agg(F.sum("shared").alias("shared")), label)
     common = found.filter("b IS NULL").select(F.col("a").alias("sid"), F.col("na").alias("n"), F.col("shared").alias("common"))
     return found.filter("b IS NOT NULL"), common, found
@@ -387,7 +387,7 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
             names = ["rep_a", "rep_b"]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in names], names=names)
 
-    return joined.select("rep_a", "rep_b", "set_a", "set_b").mapInArrow(run, "rep_a bigint, rep_b bigint")
+    return joined.select("rep_a", "rep_b", "set_a", "set_b").mapInArrow(tidied(run), "rep_a bigint, rep_b bigint")
 
 
 def open_groups(
@@ -491,7 +491,7 @@ def _matrix_links(core: DataFrame, percent: int, group: int) -> tuple[DataFrame,
             )
 
     links = "a bigint, na int, b bigint, nb int"
-    return both.mapInArrow(run, links).unionByName(alone.mapInArrow(run, links)), numbered
+    return both.mapInArrow(tidied(run), links).unionByName(alone.mapInArrow(tidied(run), links)), numbered
 
 
 def near_duplicates(
@@ -549,7 +549,7 @@ def near_duplicates(
     crowd = common.filter(crowded(F.col("common"), F.col("n")))
     crowd_sets = _wanted_sets(crowd, bits, words, lambda n: later_posted(n, percent))
     release(met)
-    more, common, met = _candidates(rows.mapInArrow(crowd_sets, _SETS).select("sid", "n", "shingles"), percent, few, "crowd")
+    more, common, met = _candidates(rows.mapInArrow(tidied(crowd_sets), _SETS).select("sid", "n", "shingles"), percent, few, "crowd")
     names = [classes.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("rep").alias(f"rep_{s}")) for s in "ab"]
 
     def named(pairs: DataFrame) -> DataFrame:
@@ -569,7 +569,7 @@ def near_duplicates(
         wanted = wanted.unionByName(rare.select(F.col(s).alias("sid"), F.col(f"rep_{s}").alias("doc_id")))
     # Whole sets stay where their texts lie. The steps below look for them by class and document, so those that
     # passed a filter by chance fall out there.
-    exact = rows.mapInArrow(_wanted_sets(wanted, bits, words, lambda n: n, core), _WHOLE)
+    exact = rows.mapInArrow(tidied(_wanted_sets(wanted, bits, words, lambda n: n, core)), _WHOLE)
     ids = sets.agg(F.count("doc_id").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
     if ids["rows"] > ids["ids"]:
         exact = exact.dropDuplicates(["doc_id", "sid", "n"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from bazaarlens.llm import bpe, decontamination, ngram_join, quality, secrets, spotsigs
+from bazaarlens.llm import bpe, common, decontamination, ngram_join, quality, secrets, spotsigs
 from bazaarlens.llm.common import MOST_BYTES, fold, kept_in_worker, map_texts, short_batches
 from bazaarlens.llm.components import connected_components
 from bazaarlens.llm.queries import QUERIES
@@ -154,6 +155,29 @@ def test_workers_drop_what_another_step_kept(texts):
     assert len(held) == 4 and {r["held"] for r in step("two")} == {"two"}
 
 
+def test_a_worker_gives_memory_back_after_each_task(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(True))
+    rows = common.tidied(lambda batches: (2 * b for b in batches))(iter([1, 2]))
+    assert next(rows) == 2 and not given
+    assert list(rows) == [4] and given == [True]
+
+
+def test_an_encoder_holds_few_bytes():
+    """Of 600,000 words that differ, about what its bounds allow."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        encoder = bpe.ChunkEncoder(file.read())
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        for begin in range(0, 600_000, 20_000):
+            encoder.encode([" ".join(map(str, range(i, i + 500))) for i in range(begin, begin + 20_000, 500)])
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    finally:
+        tracemalloc.stop()
+    assert held < 48 << 20
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = ngram_join.near_duplicates(odd, "doc_id", "text").collect()
     assert len(rows) == len(ODD)
